@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_ppm, lcp, line_dedup, lsh_forest, tokens
+from . import decontam, lang_ppm, lcp, line_dedup, lsh_forest, mixing, quality, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_ppm.identify(docs.drop("lang"), model).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return out.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), read(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "contaminated", "best_item", "coverage", "items")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -59,6 +73,9 @@ FROM l LEFT JOIN shared s USING (k) GROUP BY l.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_source_mix": op2_source_mix,
+    "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
