@@ -82,6 +82,14 @@ def arrow_limits(spark: SparkSession, rows: int = 1000, nbytes: int = 8 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """df with new columns computed from each Arrow batch; make() runs once in each task.
 
@@ -114,13 +122,14 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", si
         sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     if total is None:
         total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = sizes.where((F.col("n") > max(1, int(total * hot_share))) & F.col(key).isNotNull()).select(F.col(key).alias("__hot"))
-    side = table.join(F.broadcast(hot), table[key] == hot["__hot"], "left_semi").withColumn("__in", F.lit(True))
+    mark = fresh([*df.columns, *table.columns], "hot_key")
+    hot = sizes.where((F.col("n") > max(1, int(total * hot_share))) & F.col(key).isNotNull()).select(F.col(key).alias(mark))
+    hot_side = table.join(F.broadcast(hot), table[key] == hot[mark], "left_semi")
     values = [c for c in table.columns if c != key]
-    first = df.join(F.broadcast(hot), df[key] == hot["__hot"], "left").withColumn("__is_hot", F.col("__hot").isNotNull()).drop("__hot")
     names = df.columns
-    warm = first.where("__is_hot").select(*names).join(F.broadcast(side.select(key, *values)), key, how)
-    cold = first.where(~F.col("__is_hot")).select(*names).join(table.hint("shuffle_merge"), key, how)
+    marked = df.join(F.broadcast(hot), df[key] == hot[mark], "left")
+    warm = marked.where(F.col(mark).isNotNull()).drop(mark).join(F.broadcast(hot_side), key, how)
+    cold = marked.where(F.col(mark).isNull()).drop(mark).join(table.hint("shuffle_merge"), key, how)
     cols = [*names, *values]
     return warm.select(*cols).unionByName(cold.select(*cols))
 

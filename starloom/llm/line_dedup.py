@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_SHARE, Workspace, append_columns, arrow_limits
+from .common import HOT_SHARE, Workspace, append_columns, arrow_limits, fresh
 from .kernels import U, mix
 
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -261,9 +261,10 @@ class LineIndex:
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int = 10) -> DataFrame:
     """docs with kept_text, n_lines (before dropping) and n_dropped."""
     index = index or LineIndex(docs, min_chars)
-    lost = index.losing().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
     names = docs.columns
-    joined = docs.withColumn("__order", doc_order(F.col("doc_id"))).join(lost, F.col("__order") == F.col("__id"), "left")
+    order, lost_id, lost_keys = (fresh(names, x) for x in ("order", "lost_id", "lost_keys"))
+    lost = index.losing().select(F.col("doc_id").alias(lost_id), F.col("keys").alias(lost_keys))
+    joined = docs.withColumn(order, doc_order(F.col("doc_id"))).join(lost, F.col(order) == F.col(lost_id), "left")
     at, keys_at = names.index("text"), len(names)
 
     def make():
@@ -282,4 +283,4 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int
         return call
 
     fields = [T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    return append_columns(joined.select(*names, "__keys"), fields, make).drop("__keys")
+    return append_columns(joined.select(*names, lost_keys), fields, make).drop(lost_keys)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Workspace, append_columns, lookup_join
+from .common import BROADCAST_ROWS, Workspace, append_columns, fresh, lookup_join
 from .kernels import U, chunks, words
 
 MARGINS = ("source", "lang", "topic")
@@ -162,10 +162,12 @@ def mix_sources(docs: DataFrame, fraction: float = 0.5, alpha: float = 0.5, topi
                 lo, hi = (mid, hi) if got < budget else (lo, mid)
             goals[m] = ws.table(have.select(m, F.least("have", F.pow("have", F.lit(alpha)) * hi).alias("target")), f"target-{m}")
         weights = _rake_in_spark(cells, list(MARGINS), goals, ws, 30)
-    full = full.withColumn("cell", cell)
+    key, value = fresh(full.columns, "mix_cell"), fresh(full.columns, "mix_weight")
+    full = full.withColumn(key, cell)
+    weights = weights.select(F.col("cell").alias(key), F.col("weight").alias(value))
     if n_cells <= BROADCAST_ROWS:
-        full = full.join(F.broadcast(weights), "cell", "left")
+        full = full.join(F.broadcast(weights), key, "left")
     else:
-        full = lookup_join(full, weights, "cell", "left", sizes=counted.select("cell", "n"))
-    chance = F.when(F.col("__tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("weight", F.lit(1.0)))
-    return full.withColumn("__probability", chance).withColumn("__sampled", uniform(F.col("doc_id"), seed) < F.col("__probability")).drop("cell", "weight")
+        full = lookup_join(full, weights, key, "left", sizes=counted.select(F.col("cell").alias(key), "n"))
+    chance = F.when(F.col("__tokens") == 0, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(1.0)))
+    return full.withColumn("__probability", chance).withColumn("__sampled", uniform(F.col("doc_id"), seed) < F.col("__probability")).drop(key, value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_ppm, lcp, line_dedup, lsh_forest, mixing, quality, tokens
+from . import decontam, lang_ppm, lcp, line_dedup, lsh_forest, mixing, quality, secret_scan, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_round_trip(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -71,6 +80,16 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE l.doc_id > s.first_
 FROM l LEFT JOIN shared s USING (k) GROUP BY l.doc_id
 """
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -79,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL}
