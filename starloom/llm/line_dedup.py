@@ -82,8 +82,10 @@ class CuckooFilter:
                     placed = True
                     break
                 k = int(rng.integers(self.WIDTH))
-                trail.append((b, k, f))
-                f, self.table[b, k] = self.table[b, k], f
+                out = self.table[b, k]
+                trail.append((b, k, out))
+                self.table[b, k] = f
+                f = out
                 b = int((U(b) ^ mix(np.array([f], U))[0]) & U(len(self.table) - 1))
             if not placed:
                 for b, k, f in reversed(trail):  # put everything back; the key goes to the stash
