@@ -128,9 +128,10 @@ def _verify(threshold: float):
             n = length[g]
             spots = np.repeat(begin[g] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             common = np.bincount(owner_sorted[spots], minlength=len(docs))
-            common[: i + 1] = 0  # each pair once
             if side[i] == 0:
                 common[side != 1] = 0
+            else:
+                common[: i + 1] = 0  # each pair once
             j = np.flatnonzero(common)
             # the same comparison as common / union >= threshold, in whole thousandths
             j = j[common[j] * 1000 >= int(round(threshold * 1000)) * (size[i] + size[j] - common[j])]
