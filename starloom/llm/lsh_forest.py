@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,12 +185,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tar
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     sized = sized.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
 
+    def pack(batches):
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compress(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "z"])
+
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            sets = shingle_sets(_strings(b.column(1)), width)
+            sets = shingle_sets([unpack(z).decode("utf-8", "replace") for z in b.column(1).to_pylist()], width)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cluster", "copies", "nb", "block", "shingles"])
 
-    texts = docs.join(sized.select("doc_id", "cluster", "copies", "nb", "block"), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.mapInArrow(pack, "doc_id long, z binary").join(sized.select("doc_id", "cluster", "copies", "nb", "block"), "doc_id").dropDuplicates(["doc_id"])
     sets = texts.mapInArrow(run, "doc_id long, cluster long, copies long, nb int, block int, shingles binary")
     own = F.col("block")
     spread = F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(2).alias("side")))).otherwise(
