@@ -69,7 +69,7 @@ def top_categories(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     texts = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns)))
     counts = df.select(texts.alias("e")).select("e.feature", "e.value").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("feature").orderBy(F.desc("n"), "value")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 
 def max_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n): the most values a row has in each multi-valued column."""
-    wide = df.agg(*(F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).alias(c) for c in columns))
+    wide = df.agg(*(F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).cast("long").alias(c) for c in columns))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in columns))).alias("e")).select("e.*")
 
 

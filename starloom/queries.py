@@ -481,3 +481,79 @@ def table_filter(spark, sf_dir):
     path = _scratch(spark, "filter")
     sources.filter_tables(spark, f"{sf_dir}/orders.parquet", [{"input_path": f"{sf_dir}/lineitem.parquet", "output_path": path, "from_entity_keys": ["o_orderkey"], "to_entity_keys": ["l_orderkey"]}])
     return spark.read.parquet(path).select("l_orderkey", "l_linenumber")
+
+
+# machine learning -------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and clicks with a label that depends on value and user."""
+    e = read(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')")
+    y = ((F.col("value") + F.pmod("user_id", F.lit(7)) * 3) > 25).cast("int")
+    return e.select("event_id", "ts", "user_id", "event_type", "value", F.pmod("user_id", F.lit(7)).alias("segment"), y.alias("label"))
+
+
+_LABELLED = "(SELECT *, user_id % 7 AS segment, ((value + (user_id % 7) * 3) > 25)::INT AS label FROM events WHERE event_type IN ('purchase', 'click'))"
+
+
+@query("ml_auc", f"""
+WITH s AS (SELECT value AS z, sum(label) AS p, sum(1 - label) AS n FROM {_LABELLED} GROUP BY 1),
+c AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM c""")
+def ml_auc(spark, sf_dir):
+    from .ml.metrics import auc
+
+    return spark.createDataFrame([(round(auc(_labelled(spark, sf_dir), "value", "label"), 6),)], "auc double")
+
+
+@query("ml_histogram", f"""SELECT feature, bin, round(sum(0.5 - label)::DOUBLE, 4) AS g, round((count(*) * 0.25)::DOUBLE, 4) AS h, count(*) AS n FROM
+(SELECT 'value' AS feature, floor(value / 10)::BIGINT AS bin, label FROM {_LABELLED} UNION ALL SELECT 'segment', segment, label FROM {_LABELLED}) GROUP BY 1, 2""")
+def ml_histogram(spark, sf_dir):
+    d = _labelled(spark, sf_dir)
+    long = d.select("label", F.explode(F.array(F.struct(F.lit("value").alias("feature"), F.floor(F.col("value") / 10).alias("bin")), F.struct(F.lit("segment").alias("feature"), F.col("segment").alias("bin")))).alias("e"))
+    return long.groupBy("e.feature", "e.bin").agg(F.round(F.sum(F.lit(0.5) - F.col("label")).cast("double"), 4).alias("g"), F.round((F.count(F.lit(1)) * 0.25).cast("double"), 4).alias("h"), F.count(F.lit(1)).alias("n"))
+
+
+@query("ml_split_gain", f"""
+WITH b AS (SELECT floor(value / 10)::BIGINT AS bin, sum(0.5 - label)::DOUBLE AS g, (count(*) * 0.25)::DOUBLE AS h FROM {_LABELLED} GROUP BY 1),
+c AS (SELECT bin, sum(g) OVER (ORDER BY bin) AS gl, sum(h) OVER (ORDER BY bin) AS hl, sum(g) OVER () AS g, sum(h) OVER () AS h FROM b)
+SELECT bin, round(gl * gl / (hl + 0.000001) + (g - gl) * (g - gl) / (h - hl + 0.000001) - g * g / (h + 0.000001), 4) AS gain FROM c WHERE hl < h""")
+def ml_split_gain(spark, sf_dir):
+    """The gain of each split of value, by the trainer's own split finder fed one histogram."""
+    import numpy as np
+
+    from .ml.gbm import GBM, TreeConfig
+
+    d = _labelled(spark, sf_dir)
+    rows = d.groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.sum(0.5 - F.col("label")).alias("g"), (F.count(F.lit(1)) * 0.25).alias("h"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    model, out = GBM(TreeConfig("label", ["value"]), {}, {}), []
+    sums = np.array([(r.g, r.h, r.n) for r in rows], float)
+    for k in range(len(rows) - 1):  # two bins each, so that only one split is possible
+        two = np.array([[sums[: k + 1].sum(axis=0), sums[k + 1 :].sum(axis=0), np.zeros(3)]])
+        out.append((rows[k].bin, round(float(model.best_split(two, 1, [0])[0]), 4)))
+    return spark.createDataFrame(out, "bin long, gain double")
+
+
+@query("ml_gbm")
+def ml_gbm(spark, sf_dir):
+    from .ml.gbm import GBM, TreeConfig
+
+    d = _labelled(spark, sf_dir)
+    model = GBM.fit(d, TreeConfig("label", ["value"], ["segment", "event_type"], trees=3, max_depth=3), _scratch(spark, "gbm"))
+    return GBM.loads(model.dumps()).predict(d).select("event_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("ml_linear")
+def ml_linear(spark, sf_dir):
+    from .ml.linear import LinearConfig, LinearModel
+
+    d = _labelled(spark, sf_dir)
+    return LinearModel.fit(d, LinearConfig("label", ["value"], ["segment"], max_iter=5)).predict(d).select("event_id", F.round("prediction", 4).alias("prediction"))
+
+
+@query("ml_slotwise")
+def ml_slotwise(spark, sf_dir):
+    from .ml.scorer import slotwise_scores
+
+    train, valid = prep.validation_split(_labelled(spark, sf_dir).withColumn("base", F.lit(0.0)), "ts", 0.2)
+    return slotwise_scores(train, valid, ["value"], ["segment", "event_type"], "base", "label")

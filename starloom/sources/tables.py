@@ -61,7 +61,7 @@ def cache(df: DataFrame, uri: str = "mem://") -> DataFrame:
 
 def cached_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def write_split(train: DataFrame, test: DataFrame, path: str) -> None:
