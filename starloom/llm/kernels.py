@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 
 U = np.uint64
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _NOT_WORD = re.compile("[\u0080-©«-´¶-¹»-¿×÷ -⁯₠-⃏←-⯿　-〿︰-﹏＀-／]+")
 
@@ -121,7 +121,7 @@ def windows(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return mix(out), offsets
 
 
-def chunks(lengths: list[int], most: int = 2 << 20) -> list[tuple[int, int]]:
+def chunks(lengths: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of consecutive rows with about most bytes of text in each; a longer row stands alone."""
     out, start, total = [], 0, 0
     for i, n in enumerate(lengths):

@@ -27,7 +27,7 @@ from .common import append_columns, arrow_limits
 from .kernels import U, chunks
 
 ORDER = 4
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def windows(buf: np.ndarray, order: int) -> np.ndarray:
