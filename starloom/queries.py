@@ -358,6 +358,35 @@ def composite(spark, sf_dir):
     return df.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns))
 
 
+@query(
+    "list_functions",
+    """WITH l AS (SELECT l_orderkey, list(l_linestatus || l_returnflag ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS v, list(l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
+       c AS (SELECT l_orderkey, l_linestatus || l_returnflag AS k, count(*) AS n FROM lineitem GROUP BY ALL),
+       r AS (SELECT l_orderkey, string_agg(k, ';' ORDER BY n DESC, k) FILTER (WHERE i <= 2) AS common, max(n) AS most FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, k) AS i FROM c) GROUP BY 1)
+       SELECT l_orderkey, common, most, v[1] AS earliest, v[-1] AS latest, list_aggregate(q, 'max') AS largest, len(list_filter(q, lambda x: x > 25)) AS many, len(v) AS n FROM l JOIN r USING (l_orderkey)""",
+)
+def list_functions(spark, sf_dir):
+    """Grouping, ranking and picking in a list of each order's lines."""
+    from .functions import lists as L
+
+    rows = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", F.concat("l_linestatus", "l_returnflag").alias("v"), "l_quantity")))
+    df = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("rows")).select("l_orderkey", F.col("rows.v").alias("v"), F.col("rows.l_quantity").alias("q"))
+    counts = L.group_by(F.col("v"))
+    return df.select(
+        "l_orderkey", F.array_join(L.take(L.sort_by_value(counts), 0, 2), ";").alias("common"), F.array_max(L.get_values(counts)).cast("long").alias("most"), L.first(F.col("v")).alias("earliest"), L.at(F.col("v"), 0).alias("latest"),
+        L.first(L.top(F.col("q"))).alias("largest"), L.count_where(F.col("q"), lambda x: x > 25).alias("many"), L.count_of_window(F.col("v")).alias("n"),
+    )
+
+
+@query("split_by_key", "SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, 'p;s;x' AS keys FROM orders")
+def split_by_key(spark, sf_dir):
+    from .functions import lists as L
+
+    kv = F.concat(F.lit("p:"), F.col("o_orderpriority"), F.lit("|s:"), F.col("o_orderstatus"), F.lit("|x|p:again"))
+    m = L.split_by_key(kv, "|", ":")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.element_at(m, "p").alias("p"), F.element_at(m, "s").alias("s"), F.array_join(L.get_keys(m), ";").alias("keys"))
+
+
 # preparation and statistics ---------------------------------------------------------------------------------------------
 
 
