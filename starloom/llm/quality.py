@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import BROADCAST_ROWS, Workspace, append_columns, arrow_limits, lookup_join
 from .kernels import _BASE, U, chunks, mix, normal, words
 
-BITS = 13
+BITS = 18
 _SURFACE = 8
 _NULL = "\u0000null"
 
@@ -69,38 +69,41 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Classifier:
-    """Logistic regression on presence of hashed features (scaled by 1 / sqrt of their number) and surface measures."""
+    """Logistic regression on the presence of selected features (scaled by 1 / sqrt of their number in a text) and surface measures."""
 
-    def __init__(self, weights: np.ndarray | None, rate: float):
-        self.weights, self.constant = weights, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
+    def __init__(self, weights: np.ndarray | None, rate: float, selected: np.ndarray | None = None):
+        self.weights, self.selected, self.constant = weights, selected, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], surface: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> Classifier:
+    def fit(cls, sets: list[np.ndarray], surface: np.ndarray, y: np.ndarray, rounds: int = 100, penalty: float = 1e-4, least_z: float = 3.0, least_texts: int = 4) -> Classifier:
+        """Only features are used that least_texts texts have and whose share of positive texts is least_z deviations off the mean."""
         rate = float(y.mean()) if len(y) else 0.5
         if not len(y) or rate in (0.0, 1.0):
             return cls(None, rate)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = np.concatenate(sets)
-        scale = 1 / np.sqrt(np.maximum([len(s) for s in sets], 1))
         d = 1 << BITS
+        row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        n, positive = np.bincount(col, minlength=d), np.bincount(col, y[row], d)
+        selected = (n >= least_texts) & (np.abs(positive - n * rate) > least_z * np.sqrt(n * rate * (1 - rate)))
+        row, col = row[selected[col]], col[selected[col]]
+        scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(sets)), 1))
         w = np.zeros(d + surface.shape[1])
         m, v = np.zeros_like(w), np.zeros_like(w)
         each = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))  # both classes weigh the same
         for t in range(1, rounds + 1):
             z = np.bincount(row, w[col], len(sets)) * scale + surface @ w[d:]
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each / len(y)
-            grad = np.r_[np.bincount(col, (g * scale)[row], d), surface.T @ g] + penalty * w / 10
+            grad = np.r_[np.bincount(col, (g * scale)[row], d), surface.T @ g] + penalty * w
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        out = cls(w, rate)
-        return out
+            w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return cls(w.astype(np.float32), rate, selected)
 
     def odds(self, row: np.ndarray, col: np.ndarray, surface: np.ndarray) -> np.ndarray:
-        """Log odds of each text; the prior's for texts without words."""
+        """Log odds of each text; zero for texts without words."""
         n = len(surface)
         if self.weights is None:
             return np.full(n, self.constant)
-        d = 1 << BITS
+        d = len(self.selected)
+        row, col = row[self.selected[col]], col[self.selected[col]]
         z = np.bincount(row, self.weights[col], n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)) + surface @ self.weights[d:]
         return np.where(surface[:, 0] > 0, np.clip(z, -12, 12), 0.0)
 
@@ -120,11 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> tuple[Cl
             for lo, hi in chunks([len(t or "") for t in texts]):
                 row, col, surface = features(texts[lo:hi])
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
-                sets = [col[x:y].astype(np.uint16).tobytes() for x, y in zip(at[:-1], at[1:])]
+                sets = [col[x:y].astype(np.uint32).tobytes() for x, y in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array(sets, pa.binary()), pa.array([s.tobytes() for s in surface], pa.binary())], names=["quality", "toxic", "sets", "surface"])
 
     rows = few.mapInArrow(run, "quality int, toxic int, sets binary, surface binary").toArrow()
-    sets = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows["sets"].to_pylist()]
+    sets = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["sets"].to_pylist()]
     surface = np.array([np.frombuffer(x) for x in rows["surface"].to_pylist()]).reshape(-1, _SURFACE)
     out = []
     for name, empty in (("quality", 0.5), ("toxic", 0.0)):
