@@ -71,11 +71,15 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class Classifier:
     """Logistic regression on the presence of selected features (scaled by 1 / sqrt of their number in a text) and surface measures."""
 
-    def __init__(self, weights: np.ndarray | None, rate: float, selected: np.ndarray | None = None):
+    #: Labelled texts of the rarer class at which its known rate counts half; classes weigh the same when fitting.
+    PRIOR_TEXTS = 100
+
+    def __init__(self, weights: np.ndarray | None, rate: float, selected: np.ndarray | None = None, rarer: int = 0):
         self.weights, self.selected, self.constant = weights, selected, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
+        self.shift = self.constant * self.PRIOR_TEXTS / (self.PRIOR_TEXTS + rarer)
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], surface: np.ndarray, y: np.ndarray, rounds: int = 100, penalty: float = 1e-4, least_z: float = 3.0, least_texts: int = 4) -> Classifier:
+    def fit(cls, sets: list[np.ndarray], surface: np.ndarray, y: np.ndarray, rounds: int = 100, penalty: float = 1e-4, least_z: float = 3.0, least_texts: int = 7) -> Classifier:
         """Only features are used that least_texts texts have and whose share of positive texts is least_z deviations off the mean."""
         rate = float(y.mean()) if len(y) else 0.5
         if not len(y) or rate in (0.0, 1.0):
@@ -95,7 +99,7 @@ class Classifier:
             grad = np.r_[np.bincount(col, (g * scale)[row], d), surface.T @ g] + penalty * w
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return cls(w.astype(np.float32), rate, selected)
+        return cls(w.astype(np.float32), rate, selected, int(min(y.sum(), len(y) - y.sum())))
 
     def odds(self, row: np.ndarray, col: np.ndarray, surface: np.ndarray) -> np.ndarray:
         """Log odds of each text; zero for texts without words."""
@@ -104,7 +108,7 @@ class Classifier:
             return np.full(n, self.constant)
         d = len(self.selected)
         row, col = row[self.selected[col]], col[self.selected[col]]
-        z = np.bincount(row, self.weights[col], n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)) + surface @ self.weights[d:]
+        z = np.bincount(row, self.weights[col], n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)) + surface[:, : len(self.weights) - d] @ self.weights[d:] + self.shift
         return np.where(surface[:, 0] > 0, np.clip(z, -12, 12), 0.0)
 
 
@@ -130,10 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> tuple[Cl
     sets = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["sets"].to_pylist()]
     surface = np.array([np.frombuffer(x) for x in rows["surface"].to_pylist()]).reshape(-1, _SURFACE)
     out = []
-    for name, empty in (("quality", 0.5), ("toxic", 0.0)):
+    for name, empty, measures in (("quality", 0.5, _SURFACE), ("toxic", 0.0, 1)):  # toxicity shows in words alone
         y = rows[name].to_pylist()
         own = [i for i, v in enumerate(y) if v is not None and surface[i, 0] > 0]
-        out.append(Classifier.fit([sets[i] for i in own], surface[own], np.array([float(y[i] > 0) for i in own])) if own else Classifier(None, empty))
+        out.append(Classifier.fit([sets[i] for i in own], surface[own, :measures], np.array([float(y[i] > 0) for i in own])) if own else Classifier(None, empty))
     return out[0], out[1]
 
 
