@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_ppm, lcp, line_dedup, lsh_forest, mixing, quality, secret_scan, tokens, warc
+from . import decontam, lang_ppm, lcp, line_dedup, lsh_forest, mixing, oracles, quality, secret_scan, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,29 +67,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
-OP6_SQL = r"""
-WITH l AS (
-  SELECT doc_id, pos, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
-), shared AS (
-  SELECT k, min(doc_id) AS first_doc FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
-)
-SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE l.doc_id > s.first_doc) AS n_dropped,
-       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE s.k IS NULL OR l.doc_id = s.first_doc), '')) AS kept_sha256
-FROM l LEFT JOIN shared s USING (k) GROUP BY l.doc_id
-"""
-
-OP9_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
-SELECT page_id, n AS payload_bytes, h AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
-FROM g
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -102,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": oracles.LINE_DEDUP, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_secret_scan": oracles.SECRETS, "op9_warc": oracles.WARC}
