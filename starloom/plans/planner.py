@@ -115,11 +115,19 @@ class Planner:
             for c in line.calls():
                 if c.name not in OPERATORS:
                     raise UnknownOperator(c.name)
-        df = self.tables[self.schema.target]
-        df = self._scopes(df, lines)
         keep = keep if keep is not None else [self.schema.index] if self.schema.index else []
+        df = self.tables[self.schema.target]
+        needed = self._needed(lines, keep)
+        df = self._scopes(df.select(*(c for c in df.columns if c in needed)), lines)
         return df.select(*keep, *(self._value(line).column.alias(n) for line, n in zip(lines, names)))
 
+    def _needed(self, lines: list[Call], keep: list[str]) -> set[str]:
+        """The main table's columns that the program reads: only these travel through unions and windows."""
+        pairs = [str(a).partition(".")[::2] for line in lines for c in line.calls() for a in c.args if isinstance(a, Token)]
+        tables = {t for t, _ in pairs}
+        related = [r for r in self.schema.relations if r.to_entity in tables]
+        return {*keep, *self.order, *(n for t, n in pairs if t == self.schema.target), *(k for r in related for k in (*r.from_keys, r.from_time))}
+
     # scopes
 
     def _scopes(self, df: DataFrame, lines: list[Call]) -> DataFrame:

@@ -20,7 +20,7 @@ from starloom.operators.windows import WindowFeature, window_features
 from starloom.plans.frames import parse_frame
 from starloom.plans.planner import compile_program
 from starloom.plans.schema import load_schema
-from starloom.queries import COMPOSITE, EVENT_STAR, ORACLES, QUERIES, trade_program
+from starloom.queries import COMPOSITE, EVENT_STAR, ORACLES, QUERIES, SHOP, trade_program
 from starloom.sources import tables as sources
 from tests_support import CONFIG
 
@@ -117,6 +117,9 @@ def test_plans_have_one_shuffle_for_each_scope_and_no_python(spark, sf):
     features = [MultiFeature(f"f{i}", a, "value", parse_frame("7d:5:0s")) for i, a in enumerate(("sum", "avg", "top3frequency"))] + [LastFeature("l", "value")]
     text = plan(union_windows(main, side, [("user_id", "user_id")], ("ts", "ts"), features, ["event_id"]))
     assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text and "EqualTo(event_type,view)" in text
+    wide = main.withColumn("unused", F.lit(1))
+    text = plan(compile_program(SHOP, "multi_sum(purchases,views.value,7d:5:0s)", {"purchases": wide, "views": side.withColumn("tags", F.lit(""))}, names=["x"]))
+    assert "unused" not in text and text.count("props") == 0
     text = plan(trade_program(spark, sf, "\n".join(p for _, p in COMPOSITE), [n for n, _ in COMPOSITE]))
     assert "Cartesian" not in text and "Python" not in text and "BroadcastNestedLoop" not in text
 
