@@ -586,3 +586,70 @@ def ml_slotwise(spark, sf_dir):
 
     train, valid = prep.validation_split(_labelled(spark, sf_dir).withColumn("base", F.lit(0.0)), "ts", 0.2)
     return slotwise_scores(train, valid, ["value"], ["segment", "event_type"], "base", "label")
+
+
+@query("ml_metrics", f"""
+WITH p AS (SELECT label, least(greatest(value / 200, 0.01), 0.99) AS p FROM {_LABELLED}),
+s AS (SELECT p AS z, sum(label) AS pos, sum(1 - label) AS neg FROM p GROUP BY 1),
+c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS logloss, round(avg(p), 6) AS mean_prediction, round(avg(label), 6) AS positive_ratio, count(*) AS rows,
+       (SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) FROM c) AS auc FROM p""")
+def ml_metrics(spark, sf_dir):
+    from .ml.metrics import binary_metrics
+
+    d = _labelled(spark, sf_dir).withColumn("p", F.least(F.greatest(F.col("value") / 200, F.lit(0.01)), F.lit(0.99)))
+    m = binary_metrics(d, "p", "label")
+    row = tuple(round(m[k], 6) for k in ("logloss", "mean_prediction", "positive_ratio", "auc"))
+    return spark.createDataFrame([(*row, m["rows"])], "logloss double, mean_prediction double, positive_ratio double, auc double, rows long")
+
+
+@query("ml_regression_metrics", f"SELECT round(avg((segment * 5 - value) ** 2), 6) AS mse, round(avg(abs(segment * 5 - value)), 6) AS mae, round(avg(segment * 5)::DOUBLE, 6) AS mean_prediction, count(*) AS rows, round(sqrt(avg((segment * 5 - value) ** 2)), 6) AS rmse FROM {_LABELLED}")
+def ml_regression_metrics(spark, sf_dir):
+    from .ml.metrics import regression_metrics
+
+    m = regression_metrics(_labelled(spark, sf_dir).withColumn("p", (F.col("segment") * 5).cast("double")), "p", "value")
+    return spark.createDataFrame([(*(round(m[k], 6) for k in ("mse", "mae", "mean_prediction", "rmse")), m["rows"])], "mse double, mae double, mean_prediction double, rmse double, rows long")
+
+
+@query("ml_regression")
+def ml_regression(spark, sf_dir):
+    from .ml.linear import LinearConfig, choose_link
+
+    train, valid = prep.validation_split(_labelled(spark, sf_dir), "ts", 0.2)
+    config = LinearConfig("value", [], ["segment", "event_type"], "regression", max_iter=5)
+    return choose_link(train, valid, config).predict(valid).select("event_id", F.round("prediction", 3).alias("prediction"))
+
+
+@query("ml_tune")
+def ml_tune(spark, sf_dir):
+    from .ml.linear import LinearConfig
+    from .ml.tune import Range, random_search
+
+    train, valid = prep.validation_split(_labelled(spark, sf_dir), "ts", 0.2)
+    found = random_search(train, valid, LinearConfig("label", ["value"], ["segment"], max_iter=3, buckets=(10,)), {"lambda_2": Range(1e-4, 1.0, "log")}, 2, 2)
+    return spark.createDataFrame([(i, x["params"]["lambda_2"], round(x["score"], 4)) for i, x in enumerate(found)], "place int, lambda_2 double, score double")
+
+
+@query("ml_search")
+def ml_search(spark, sf_dir):
+    """A small search over purchases and clicks: the selected operators with their scores."""
+    from .ml.search import FeatureSearch, SearchConfig
+
+    d = _labelled(spark, sf_dir).withColumn("user", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    f = lambda n, t, k: {"id": f"m.{n}", "feature_type": t, "data_type": k}
+    columns = [f("event_id", "bigint", "SplitID"), f("ts", "timestamp", "Timestamp"), f("user", "string", "SingleString"), f("event_type", "string", "SingleString"), f("value", "double", "ContinueNum"), f("segment", "bigint", "ContinueNum"), f("label", "int", "DiscreteLabel")]
+    schema = load_schema({"target_entity": "m", "target_entity_index": "event_id", "target_pivot_timestamp": "ts", "target_label": "label", "entity_detail": {"m": {"features": columns}}})
+    found = FeatureSearch(schema, {"m": d}, SearchConfig("label", windows=["7d,20:0s"], rebase_rounds=0, select=(1, 3))).run()
+    return spark.createDataFrame([(i, c.op, round(c.score, 4)) for i, c in enumerate(found)], "place int, op string, score double")
+
+
+@query("ml_predict")
+def ml_predict(spark, sf_dir):
+    """A saved tree model applied to a table and written as text."""
+    from .ml.gbm import GBM, TreeConfig
+    from .ml.predict import batch_predict
+
+    d, path = _labelled(spark, sf_dir), _scratch(spark, "model")
+    GBM.fit(d, TreeConfig("label", ["value", "segment"], trees=2, max_depth=2), f"{path}/scratch").save(spark, f"{path}/model")
+    batch_predict(spark, f"{path}/model", "gbm", d, f"{path}/out", ["event_id"])
+    return spark.read.text(f"{path}/out")
