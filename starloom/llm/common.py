@@ -128,8 +128,9 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", si
     values = [c for c in table.columns if c != key]
     names = df.columns
     marked = df.join(F.broadcast(hot), df[key] == hot[mark], "left")
-    warm = marked.where(F.col(mark).isNotNull()).drop(mark).join(F.broadcast(hot_side), key, how)
-    cold = marked.where(F.col(mark).isNull()).drop(mark).join(table.hint("shuffle_merge"), key, how)
+    mapped = F.col(mark).isNotNull() | F.col(key).isNull()  # null keys match nothing and need no shuffle
+    warm = marked.where(mapped).drop(mark).join(F.broadcast(hot_side), key, how)
+    cold = marked.where(~mapped).drop(mark).join(table.hint("shuffle_merge"), key, how)
     cols = [*names, *values]
     return warm.select(*cols).unionByName(cold.select(*cols))
 

@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_limits, lookup_join
+from .common import Workspace, arrow_limits, count_rows, lookup_join
 
 _END = "\r\n\r\n"
+#: Index rows that one merge task should hold; it sets the number of ranges.
+MERGE_ROWS = 200_000
 
 
 def url_key(url: Column) -> Column:
@@ -206,7 +208,7 @@ def merge_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The rows of runs in global order of (key, stamp, page_id); runs is written already, so that its ranges can be sampled."""
     spark = runs.sparkSession
     arrow_limits(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), count_rows(runs) // MERGE_ROWS + 1)
     names = [c for c in runs.columns if c not in ("run", "seq")]
     order = [names.index(c) for c in ("key", "stamp", "page_id")]
     schema = runs.select(*names).schema
