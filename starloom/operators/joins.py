@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..plans.frames import Frame
-from .windows import micros
+from .windows import micros, time_slices
 
 
 def _last(side: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str) -> DataFrame:
@@ -63,12 +63,14 @@ def _split_values(c: Column, pieces: tuple[str, ...]) -> Column:
     return F.transform(S.split_value(c, pieces[0], pieces[1]), lambda x: x.try_cast("double"))
 
 
-def union_windows(main: DataFrame, side: DataFrame, on: list[tuple[str, str]], times: tuple[str, str], features: list[MultiFeature | LastFeature], order: list[str] | None = None, mode: str = "golden", low: int = 0) -> DataFrame:
+def union_windows(main: DataFrame, side: DataFrame, on: list[tuple[str, str]], times: tuple[str, str], features: list[MultiFeature | LastFeature], order: list[str] | None = None, mode: str = "golden", low: int = 0, sliced: bool = False) -> DataFrame:
     """main with as-of values and window aggregates of side, all for one lower bound low (microseconds).
 
     Main and side rows are dealt by key once and ordered by time, each main row standing low (in golden mode at least one
     microsecond) before its own time, so that a frame that ends at the current row ends at the bound. Row caps are frames over
     the running number of side rows. Null keys and times match nothing; every main row stays, once.
+    sliced: also deal a key's rows by slices of time as long as the longest frame; side rows go to their own and the next
+    slice. A key with a large share of the rows is then many tasks' work; it needs frames of bounded time.
     """
     shift = max(low, 1) if mode == "golden" else low
     names = main.columns
@@ -79,6 +81,13 @@ def union_windows(main: DataFrame, side: DataFrame, on: list[tuple[str, str]], t
     left = main.select(F.struct(*(F.col(c) for c in names)).alias("__main"), *(F.col(a).alias(k) for k, (a, _) in zip(keys, on)), (micros(F.col(times[0])) - F.lit(shift)).alias("__us"), F.lit(1).alias("__is_main"))
     right = side.select(*(F.col(b).alias(k) for k, (_, b) in zip(keys, on)), micros(F.col(times[1])).alias("__us"), F.lit(0).alias("__is_main"), *(F.col(c).alias(f"__v_{c}") for c in columns), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)))
     right = right.where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, "__us"]))
+    if sliced:
+        if any(f.frame is None or f.frame.kind != "range" for f in features):
+            raise ValueError("only frames of bounded time can be sliced")
+        width = max(f.frame.high for f in features)
+        left = left.withColumn("__slice", time_slices(F.col("__us"), width, False)[0]["number"])
+        right = right.withColumn("__slice", F.explode(time_slices(F.col("__us"), width, True)["number"]))
+        keys = [*keys, "__slice"]
     both = left.unionByName(right, allowMissingColumns=True)
 
     ties = [f"__o{i}" for i in range(len(order))]

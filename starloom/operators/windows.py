@@ -17,6 +17,15 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def time_slices(us: Column, width: int, history: bool) -> Column:
+    """The slices of time a row belongs to: its own and, if asked for, the next one, where it is history."""
+    own = F.floor(us / F.lit(max(width, 1) + 1)).cast("long")
+    slices = [F.struct(own.alias("number"), F.lit(False).alias("history"))]
+    if history:
+        slices.append(F.struct((own + 1).alias("number"), F.lit(True).alias("history")))
+    return F.array(*slices)
+
+
 @dataclass(frozen=True)
 class WindowFeature:
     """One aggregate over a frame. value: the column it reads."""
@@ -41,9 +50,13 @@ def _cap(frame: Frame, mode: str) -> int:
     return frame.max_rows if mode == "golden" else max(frame.max_rows - 1, 1)
 
 
-def window_features(df: DataFrame, keys: list[str], time: str, features: list[WindowFeature], order: tuple[str, ...] = (), mode: str = "golden") -> DataFrame:
+def window_features(df: DataFrame, keys: list[str], time: str, features: list[WindowFeature], order: tuple[str, ...] = (), mode: str = "golden", sliced: bool = False) -> DataFrame:
     """df with the features. order: columns that decide between rows of equal time.
 
+    sliced: also deal the rows of a key by slices of time as long as the longest frame, each row to its own slice and, as
+    history, to the next one. That doubles the rows but spreads a key with a large share of them over many tasks; it needs
+    range frames.
+
     A range frame without a row cap holds all rows of equal time. A capped one holds the latest max_rows rows up to the
     current row in (time, order) that are in the range; with a lower bound over zero, the latest of the range. Rows with a null key
     form a partition of their own; rows with a null time come first and see only each other in range frames.
@@ -51,14 +64,23 @@ def window_features(df: DataFrame, keys: list[str], time: str, features: list[Wi
     if not features:
         return df
     us = "__us"
+    names = df.columns
     df = df.withColumn(us, micros(F.col(time)))
+    if sliced:
+        if any(f.frame.kind != "range" for f in features):
+            raise ValueError("only range frames can be sliced")
+        df = df.withColumn("__slice", F.explode(time_slices(F.col(us), max(f.frame.high for f in features), True)))
+        df = df.withColumn("__history", F.col("__slice.history")).withColumn("__slice", F.col("__slice.number"))
+        keys = [*keys, "__slice"]
     by_time = Window.partitionBy(*keys).orderBy(us)
     total = Window.partitionBy(*keys).orderBy(us, *order)
     out = []
     for f in features:
         c = F.col(f.value)
         out.append(A.window_result(f.agg, _one(f, c, by_time, total, us, order, mode), mode).alias(f.name))
-    return df.select(*[x for x in df.columns if x != us], *out)
+    if not sliced:
+        return df.select(*names, *out)
+    return df.select(*names, "__history", *out).where(~F.col("__history")).drop("__history")
 
 
 def _one(f: WindowFeature, c: Column, by_time: WindowSpec, total: WindowSpec, us: str, order: tuple[str, ...], mode: str) -> Column:

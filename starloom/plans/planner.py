@@ -87,11 +87,12 @@ def _is_numeric(call: Call, schema: Schema) -> bool:
 
 
 class Planner:
-    def __init__(self, schema: Schema, tables: dict[str, DataFrame], mode: str = "golden", order: tuple[str, ...] = ()):
-        """order: main columns that decide between main rows of equal time in row frames."""
+    def __init__(self, schema: Schema, tables: dict[str, DataFrame], mode: str = "golden", order: tuple[str, ...] = (), sliced: bool = False):
+        """order: main columns that decide between main rows of equal time in row frames. sliced: deal keys by slices of time
+        too wherever all frames of a scope are bounded in time, for keys that hold a large share of the rows."""
         if mode not in ("golden", "runtime"):
             raise PlanError(f"unknown mode {mode}")
-        self.schema, self.tables, self.mode, self.order = schema, tables, mode, order
+        self.schema, self.tables, self.mode, self.order, self.sliced = schema, tables, mode, order, sliced
         self.names: dict[Call, str] = {}
         for name, df in tables.items():
             if name in schema.tables:
@@ -181,9 +182,12 @@ class Planner:
                 low = frame.low if frame.kind == "range" else 0
             groups.setdefault((r, low), []).append(feature)
         for (r, low), features in groups.items():
-            df = union_windows(df, self.tables[r.to_entity], list(zip(r.from_keys, r.to_keys)), (r.from_time, r.to_time), features, list(r.order), self.mode, low)
+            df = union_windows(df, self.tables[r.to_entity], list(zip(r.from_keys, r.to_keys)), (r.from_time, r.to_time), features, list(r.order), self.mode, low, self._slices(features))
         return df
 
+    def _slices(self, features: list) -> bool:
+        return self.sliced and all(f.frame is not None and f.frame.kind == "range" for f in features)
+
     def _windows(self, df: DataFrame, calls: list[Call]) -> DataFrame:
         groups: dict[tuple, list[WindowFeature]] = {}
         made = {}
@@ -203,7 +207,7 @@ class Planner:
         if made:
             df = df.withColumns(made)
         for (key, time), features in groups.items():
-            df = window_features(df, [key], time, features, self.order, self.mode)
+            df = window_features(df, [key], time, features, self.order, self.mode, self._slices(features))
         return df
 
     # scalars
@@ -272,15 +276,15 @@ class Planner:
         return "double"
 
 
-def compile_program(config: str | dict | Schema, program: str | list[Call], tables: dict[str, DataFrame], mode: str = "golden", strict: bool = False, names: list[str] | None = None, keep: list[str] | None = None, order: tuple[str, ...] = ()) -> DataFrame:
-    """One DataFrame for a feature program: the main table's index and a column for each line. strict: drop what the text generators drop."""
+def compile_program(config: str | dict | Schema, program: str | list[Call], tables: dict[str, DataFrame], mode: str = "golden", strict: bool = False, names: list[str] | None = None, keep: list[str] | None = None, order: tuple[str, ...] = (), sliced: bool = False) -> DataFrame:
+    """One DataFrame for a feature program: the main table's index and a column for each line. strict: drop what the text generators drop; sliced: as for Planner."""
     from .schema import load_schema
 
     schema = config if isinstance(config, Schema) else load_schema(config)
     lines = parse_program(program) if isinstance(program, str) else program
     if strict:
         lines = strict_filter(lines, schema)
-    return Planner(schema, tables, mode, order).plan(lines, names, keep)
+    return Planner(schema, tables, mode, order, sliced).plan(lines, names, keep)
 
 
 def split_stages(program: list[Call]) -> tuple[list[Call], list[Call]]:

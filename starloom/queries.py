@@ -210,6 +210,22 @@ _pieces_query("split_key", "top3frequency", "", "v", "''")
 _pieces_query("split_value", "sum", "", "printf('%.6f', v)", "0.0::DOUBLE")
 
 
+_HOT = ["window_sum(events.ts,events.event_type,1d:2147483647:0s,events.value)", "window_max(events.ts,events.event_type,12h:50:0s,events.value)", "window_sum(events.ts,events.event_type,1d:2147483647:6h,events.value)"]
+
+
+@query(
+    "window_sliced",
+    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
+       SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 4) AS day,
+              (SELECT max(b.value) FROM e b WHERE b.event_type = a.event_type AND b.rn BETWEEN a.rn - 49 AND a.rn AND b.ts >= a.ts - INTERVAL 12 HOUR) AS most,
+              round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 6 HOUR PRECEDING), 4) AS lagged FROM e a""",
+)
+def window_sliced(spark, sf_dir):
+    """Few keys with many rows each: keys are dealt by slices of time as well."""
+    df = compile_program(EVENT_STAR, "\n".join(_HOT), {"events": read(spark, sf_dir, "events")}, names=["day", "most", "lagged"], order=("event_id",), sliced=True)
+    return _rounded(df, 4, ("most",))
+
+
 # joins ------------------------------------------------------------------------------------------------------------------
 
 

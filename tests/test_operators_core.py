@@ -63,6 +63,19 @@ def test_union_windows_on_nulls_match_plain_python(star, mode, low):
                 assert got[i][f"{n}_{a}"] == (pytest.approx(w) if w is not None else None), (i, n, a)
 
 
+@pytest.mark.parametrize("mode", ["golden", "runtime"])
+def test_slices_change_nothing(star, spark, sf, mode):
+    main, side = star
+    features = [MultiFeature(f"{n}{a}", a, "v", parse_frame(w)) for n, w in {"d": "60s:2147483647:20s", "c": "50s:2:20s"}.items() for a in ("sum", "count", "unique_count", "top3frequency")]
+    features.append(LastFeature("last", "v", parse_frame("80s:0s")))
+    plain, sliced = (sorted(map(str, union_windows(main, side, [("k", "k")], ("t", "t"), features, ["v", "s"], mode, 20_000_000, s).collect())) for s in (False, True))
+    assert plain == sliced
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    features = [WindowFeature(f"{a}{i}", a, "value", parse_frame(w)) for i, w in enumerate(("3d:2147483647:0s", "2d:7:0s", "4d:9:1d")) for a in ("min", "max", "count")]
+    plain, sliced = (sorted(map(str, window_features(e, ["event_type"], "ts", features, ("event_id",), mode, s).collect())) for s in (False, True))
+    assert plain == sliced
+
+
 def test_windows_on_nulls(star):
     main, _ = star
     features = [WindowFeature("s", "sum", "v", parse_frame("100s:2147483647:0s")), WindowFeature("n", "count", "v", parse_frame("100s:5:0s")), WindowFeature("r", "ratio", "v", parse_frame("10:0"))]
