@@ -288,6 +288,26 @@ def test_rake_meets_margins():
     assert all(np.allclose(np.bincount(c, t * w), g, rtol=1e-6) for c, g in zip(codes, goals)) and w.max() <= 1
 
 
+def test_mixing_is_the_same_in_spark(spark):
+    rng = random.Random(4)
+    table = []
+    for source in range(40):
+        for lang in rng.sample("abcde", rng.choice([1, 1, 2, 5])):
+            for _ in range(rng.choice([1, 2, 6])):
+                table.append((len(table), f"word{rng.randrange(30)} " * int(10 * rng.paretovariate(0.7)), f"s{source}", lang))
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, lang string")
+    for targets in (None, {"lang": {"a": 400.0, "b": 300.0, "c": 300.0, "d": 200.0, "absent": 50.0}, "topic": {}}):
+        got = []
+        for limit in (mixing.DRIVER_CELLS, 0):
+            with pytest.warns(mixing.MarginWarning) as said:
+                got.append({r["doc_id"]: r["__probability"] for r in rows(mixing.mix_sources(df, targets=targets, driver_cells=limit, rounds=12))})
+            assert any("targets missed after 12 rounds" in str(w.message) for w in said)
+            assert any("absent" in str(w.message) for w in said) == (targets is not None)
+        assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-6, abs=1e-12) for k in got[0])
+        if targets:
+            assert max(p for k, p in got[1].items() if table[k][3] == "e") < 1e-3
+
+
 def test_quality(spark, sf, edge, empty):
     base = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
