@@ -2,8 +2,10 @@
 
 Base spans are leftmost non-overlapping matches per kind (assign, access, hex). The method adds spans of high Shannon entropy:
 over each candidate string a window of ``WINDOW`` characters slides; counts of its characters and the sum of c * log2(c) are
-updated by the character that enters and the one that leaves. A window counts as ``entropy_hex`` if it is all hexadecimal
-and as ``entropy_mixed`` if it has digits, upper and lower case, each at its own threshold; windows that touch make one span.
+updated by the character that enters and the one that leaves. A window counts as ``entropy_hex`` if it is all hexadecimal,
+as ``entropy_mixed`` if it has digits, upper and lower case, as ``entropy_lower`` (base36) or ``entropy_upper`` (base32) if it is all
+digits and letters of one case, not all hexadecimal, and as ``entropy_letters`` in a piece of letters only, each at its own threshold;
+windows that touch make one span.
 Spans whose candidate is on the allow-list (identifiers, alphabets, examples) and spans that overlap a base span are left out.
 
 Positions are code points, ends exclusive. Defined results: null text counts as empty (no spans); other columns pass through;
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters")
 
 WINDOW = 20
 #: Bits a character: of a window of its class.
-THRESHOLDS = {"entropy_hex": 3.1, "entropy_mixed": 3.8}
+THRESHOLDS = {"entropy_hex": 3.1, "entropy_mixed": 3.8, "entropy_lower": 3.8, "entropy_upper": 3.8, "entropy_letters": 4.0}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Candidates of entropy_letters: whole pieces between other characters, without digits.
+LETTERS = r"(?<![A-Za-z0-9])[A-Za-z]{20,}(?![A-Za-z0-9])"
 #: Candidates that look random but are not secret.
 ALLOW = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|example|abcdefghijkl|0123456789|1234567890|lorem|(.)\1{5}"
 
@@ -57,8 +61,8 @@ def _spans(found: Column, kind: str, keep=None) -> Column:
     return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
 
-def _entropy_spans(m: Column) -> Column:
-    """array of spans of one candidate (start, match)."""
+def _entropy_spans(m: Column, kinds: tuple[str, ...]) -> Column:
+    """array of spans of these kinds in one candidate (start, match)."""
     n = len(ALPHABET)
     weight = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
     chars = F.split(m["match"], "")
@@ -66,7 +70,7 @@ def _entropy_spans(m: Column) -> Column:
     none = F.lit(-1)
     zero = F.struct(
         F.lit(0).alias("i"), F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("total"), *(F.lit(0).alias(c) for c in classes),
-        none.alias("hs"), none.alias("he"), none.alias("ms"), none.alias("me"), F.array().cast(f"array<{_SPAN}>").alias("out"),
+        *(none.alias(f"{x}_{k}") for k in kinds for x in ("from", "to")), F.array().cast(f"array<{_SPAN}>").alias("out"),
     )
 
     def count(a: Column, k: Column) -> Column:
@@ -88,8 +92,14 @@ def _entropy_spans(m: Column) -> Column:
         have = {c: acc[c] + F.when(ch.rlike(p), 1).otherwise(0) - F.when(old.rlike(p), 1).otherwise(0) for c, p in classes.items()}
         bits = F.lit(math.log2(WINDOW)) - total / WINDOW
         full = i >= WINDOW - 1
-        hexed = full & (have["hexes"] == WINDOW) & (have["digits"] > 0) & (bits >= THRESHOLDS["entropy_hex"])
-        mixed = full & (have["digits"] > 0) & (have["uppers"] > 0) & (have["lowers"] > 0) & (bits >= THRESHOLDS["entropy_mixed"])
+        digits, uppers, lowers = have["digits"], have["uppers"], have["lowers"]
+        fits = {
+            "entropy_hex": (have["hexes"] == WINDOW) & (digits > 0),
+            "entropy_mixed": (digits > 0) & (uppers > 0) & (lowers > 0),
+            "entropy_lower": (digits + lowers == WINDOW) & (digits > 0) & (lowers > 0) & (have["hexes"] < WINDOW),
+            "entropy_upper": (digits + uppers == WINDOW) & (digits > 0) & (uppers > 0) & (have["hexes"] < WINDOW),
+            "entropy_letters": uppers + lowers == WINDOW,
+        }
         first = i - (WINDOW - 1)
 
         def track(on: Column, s: str, e: str, kind: str) -> tuple[Column, Column, Column]:
@@ -99,18 +109,17 @@ def _entropy_spans(m: Column) -> Column:
             done = F.when(closed, F.array(F.struct((m["start"] + acc[s]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (m["start"] + acc[e]).alias("end")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
             return F.when(grows, acc[s]).when(on, first).otherwise(acc[s]), F.when(on, i + 1).otherwise(acc[e]), done
 
-        hs, he, h_done = track(hexed, "hs", "he", "entropy_hex")
-        ms, me, m_done = track(mixed, "ms", "me", "entropy_mixed")
+        tracked = {k: track(full & on & (bits >= THRESHOLDS[k]), f"from_{k}", f"to_{k}", k) for k, on in fits.items() if k in kinds}
         return F.struct(
             (i + 1).alias("i"), counts.alias("counts"), total.alias("total"), *(have[c].alias(c) for c in classes),
-            hs.alias("hs"), he.alias("he"), ms.alias("ms"), me.alias("me"), F.concat(acc["out"], h_done, m_done).alias("out"),
+            *(t[x].alias(f"{name}_{k}") for k, t in tracked.items() for x, name in enumerate(("from", "to"))), F.concat(acc["out"], *(t[2] for t in tracked.values())).alias("out"),
         )
 
     def finish(acc: Column) -> Column:
         def last(s: str, e: str, kind: str) -> Column:
             return F.when(acc[s] >= 0, F.array(F.struct((m["start"] + acc[s]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (m["start"] + acc[e]).alias("end")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-        return F.concat(acc["out"], last("hs", "he", "entropy_hex"), last("ms", "me", "entropy_mixed"))
+        return F.concat(acc["out"], *(last(f"from_{k}", f"to_{k}", k) for k in kinds))
 
     return F.aggregate(chars, zero, step, finish)
 
@@ -128,11 +137,13 @@ def scan(docs: DataFrame) -> DataFrame:
     out = out.withColumn("__assign", _spans(_matches(F.col("__text"), ASSIGN, (2,)), "assign", lambda m: F.length(m["g2"]) >= 6))
     out = out.withColumn("__access", _spans(_matches(F.col("__text"), ACCESS), "access")).withColumn("__hex", _spans(_matches(F.col("__text"), HEX), "hex"))
     likely = F.filter(_matches(F.col("__text"), CANDIDATE), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & ~m["match"].rlike(ALLOW))
-    out = out.withColumn("__likely", likely).drop("__text")
+    letters = F.filter(_matches(F.col("__text"), LETTERS), lambda m: ~m["match"].rlike(ALLOW))
+    out = out.withColumn("__likely", likely).withColumn("__letters", letters).drop("__text")
     out = out.withColumn("__base", F.concat("__assign", "__access", "__hex"))
-    added = F.flatten(F.transform(F.col("__likely"), _entropy_spans))
+    *digits, only = THRESHOLDS
+    added = F.flatten(F.concat(F.transform("__likely", lambda m: _entropy_spans(m, tuple(digits))), F.transform("__letters", lambda m: _entropy_spans(m, (only,)))))
     free = lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    out = out.withColumn("__added", F.when(F.size("__likely") > 0, F.filter(added, free)).otherwise(F.array().cast(f"array<{_SPAN}>")))
+    out = out.withColumn("__added", F.when((F.size("__likely") > 0) | (F.size("__letters") > 0), F.filter(added, free)).otherwise(F.array().cast(f"array<{_SPAN}>")))
     out = out.withColumn("span_list", F.array_sort(F.concat("__base", "__added")))
     size = lambda c: F.size(c).cast("long")
     return out.select(*names, size("__assign").alias("n_assign"), size("__access").alias("n_access"), size("__hex").alias("n_hex"), F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.col("span_list")).alias("spans"), "span_list")

@@ -375,6 +375,28 @@ def test_secret_scan(spark, docs, edge, empty):
     assert len(rows(secret_scan.scan(edge))) == len(EDGE) and rows(secret_scan.scan(empty)) == []
 
 
+def test_secret_scan_finds_keys_of_any_alphabet(spark):
+    rng = random.Random(12)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sets = {"entropy_lower": lower + "0123456789", "entropy_upper": upper + "234567", "entropy_letters": lower + upper}
+    keys = [(k, "".join(rng.choice(x) for _ in range(32))) for k, x in sets.items() for _ in range(100)]
+    keys += [("", x) for x in ("die Donaudampfschifffahrtsgesellschaft", "getElementsByTagNameAndClassName", "thanbleshaningtionnt", "AAAABBBBCCCC22223333", "0f1e2d3c4b5a69788796")]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, (_, x) in enumerate(keys)], "doc_id long, text string")
+    hit = Counter()
+    for r in rows(secret_scan.scan(df)):
+        kind, x = keys[r["doc_id"]]
+        got = [s for s in r["spans"].split(",") if s.split(":")[0] in sets]
+        windows = [x[i : i + secret_scan.WINDOW] for i in range(len(x) - secret_scan.WINDOW + 1)]
+        high = [i for i, w in enumerate(windows) if -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values()) >= secret_scan.THRESHOLDS.get(kind, 9)]
+        if kind == "entropy_letters":
+            high = [i for i in high if windows[i].isalpha()]
+        elif kind:
+            high = [i for i in high if re.search("[0-9]", windows[i]) and re.search("[A-Za-z]", windows[i])]
+        assert bool(got) == bool(high) and (not high or got[0].startswith(f"{kind}:{4 + high[0]}:")), x
+        hit[kind] += bool(got)
+    assert hit[""] == 0 and all(hit[k] >= 75 for k in sets), hit
+
+
 def test_warc_round_trip(spark, sf, tmp_path):
     big = "x" * 1200 + "é\r\n\r\nWARC/1.0\r\n"
     data = [(1, "http://WWW.B.example/a?q#f", big), (2, None, big), (3, "https://u@a.example:80/", big), (4, "http://a.example", "small"), (5, "http://a.example", "small"), (6, "x y\r\nz", None), (None, "http://n.example/", big), (7, "http://a.example/", ""), (8, "", "y" * 300_000)]
