@@ -7,6 +7,7 @@ last resort is uniform over the bytes never seen. The statistics are frozen afte
 code wins.
 
 Fitting uses at most about ``sample_docs`` whole texts of each language (chosen by a hash of text and id); every text is scored whole.
+Every language of the table is learned, with all windows of its texts.
 
 Defined results: ``und`` with score 0 for null texts, texts without letters, and where nothing was learned; ties go to the
 smaller language name; other columns pass through; an empty table gives an empty result.
@@ -103,7 +104,7 @@ class Model:
 
     def _costs(self, w: np.ndarray) -> np.ndarray:
         if self._keys is None:
-            self._shift = U(64 - (20 if len(self.langs) <= 8 else 16))
+            self._shift = U(64 - (20 if len(self.langs) <= 8 else min(16, max(8, 24 - len(self.langs).bit_length()))))
             self._keys = np.full(1 << 64 - int(self._shift), np.iinfo(np.uint64).max, U)
             self._values = np.zeros((len(self._keys), len(self.langs)), np.float32)
         with np.errstate(over="ignore"):
@@ -124,11 +125,12 @@ class Model:
         """Bits of each whole text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
         pad = b"\n" * self.order
+        piece = max(1024, _PIECE * 8 // max(8, len(self.langs)))
         for lo, hi in chunks([len(t) for t in texts]):
             buf = np.frombuffer(b"".join(pad + t for t in texts[lo:hi]), np.uint8)
             starts = np.cumsum([0, *(len(t) + self.order for t in texts[lo:hi])])
-            for at in range(0, len(buf) - self.order, _PIECE):
-                end = min(at + _PIECE, len(buf) - self.order)
+            for at in range(0, len(buf) - self.order, piece):
+                end = min(at + piece, len(buf) - self.order)
                 costs = self._costs(windows(buf[at : end + self.order], self.order))
                 total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(costs, axis=0, dtype=np.float64)])
                 # row i codes byte at + i + order; a text's own bytes begin order after its start
@@ -155,24 +157,19 @@ def _count(docs: DataFrame, order: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, gram long, n long")
 
 
-def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = 1500, most_grams: int = 400_000) -> Model:
-    """A model of docs (text, lang, doc_id). sample_docs: texts used of each language; most_grams: windows kept of each language, the most frequent."""
+def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = 1500) -> Model:
+    """A model of docs (text, lang, doc_id). sample_docs: texts used of each language."""
     arrow_limits(docs.sparkSession)
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not sizes:
-        return Model({}, order)
-    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample_docs / n) * (1 << 20))))]), F.col("lang"))
-    few = docs.where(F.col("lang").isin(list(sizes)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share)).select("lang", "text")
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("lang", "text", "doc_id")
+    share = F.floor(F.least(F.lit(1.0), F.lit(sample_docs) / F.count(F.lit(1))) * (1 << 20))
+    few = docs.join(F.broadcast(docs.groupBy("lang").agg(share.alias("share"))), "lang")
+    few = few.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
     rows = _count(few, order).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    trees, langs = {}, np.array(rows["lang"].to_pylist(), object)
-    grams, counts = rows["gram"].to_numpy().astype(U), rows["n"].to_numpy()
-    for lang in sizes:
-        own = np.flatnonzero(langs == lang)
-        if len(own) > most_grams:
-            own = own[np.lexsort((grams[own], -counts[own]))[:most_grams]]
-        if len(own):
-            trees[lang] = ContextTree(grams[own], counts[own].astype(float), order)
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    at, grams, counts = langs.indices.to_numpy(), rows["gram"].to_numpy().astype(U), rows["n"].to_numpy().astype(float)
+    by = np.argsort(at, kind="stable")
+    ends = np.cumsum(np.bincount(at, minlength=len(langs.dictionary)))
+    trees = {lang: ContextTree(grams[own], counts[own], order) for lang, own in zip(langs.dictionary.to_pylist(), np.split(by, ends[:-1]))}
     return Model(trees, order)
 
 

@@ -74,6 +74,18 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_language_and_window_is_learned(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(300)]
+    table = [(i, w, f"l{i:03}") for i, w in enumerate(words)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(2)
+    out = rows(lang_ppm.identify(df, lang_ppm.fit(df)))
+    assert len(out) == 300 and all(r["lang_pred"] == r["lang"] for r in out)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=450_000))
+    tree = lang_ppm.fit(spark.createDataFrame([(1, long, "xx")], "doc_id long, text string, lang string")).trees[0]
+    assert tree.counts[lang_ppm.ORDER].sum() == len(long)
+
+
 def test_language_edges(edge, empty):
     model = lang_ppm.fit(edge)
     out = rows(lang_ppm.identify(edge, model))
