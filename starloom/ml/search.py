@@ -36,7 +36,6 @@ class SearchConfig:
     select: tuple[int, int] = (6, 18)
     hot_share: float = 0.1
     disabled: tuple[str, ...] = ()
-    joined_per_column: int = 2
 
 
 @dataclass
