@@ -92,9 +92,9 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                     bare = (t or "").strip()
                     digests.append(hashlib.blake2b(b"\0" + bare.encode("utf-8", "replace"), digest_size=16).digest() if bare else None)
                     sigs.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "digest", "size", "paths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), b.column(2)], names=["doc_id", "digest", "size", "paths", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, size int, paths binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, size int, paths binary, mark long")
 
 
 def _verify(threshold: float):
@@ -158,46 +158,49 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tar
     arrow_limits(spark)
     ws = Workspace(spark, "lsh-forest")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # a text is known by its doc_id and mark, a set of shingles by a key from its digest: one doc_id may stand on several texts
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     signed = ws.table(_signed(docs, width), "signed")
-    classes = ws.table(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = signed.where(F.col("size") > 0).join(classes.select("digest", F.col("rep_id").alias("doc_id"), "copies"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
+    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = ws.table(classes.select("digest", F.xxhash64("digest").alias("key"), F.col("first.doc_id").alias("rep_id"), F.col("first.mark").alias("rep_mark"), "copies"), "classes")
+    reps = signed.where(F.col("size") > 0).join(classes.select("digest", "key", F.col("rep_id").alias("doc_id"), F.col("rep_mark").alias("mark"), "copies"), ["doc_id", "digest", "mark"]).dropDuplicates(["key"])
 
     # trie nodes of the matched prefix; a node holds sets of one size band and the next, so sizes in it are compatible
     x = prefix_for(threshold, target)
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(threshold))).cast("int")
-    nodes = reps.select("doc_id", band.alias("band"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.expr("paths").substr(t * DEPTH + 1, F.lit(x))))).alias("node"))
-    nodes = nodes.select("doc_id", F.explode(F.array(F.xxhash64("node", "band"), F.xxhash64("node", F.col("band") - 1))).alias("node"))
+    nodes = reps.select("key", band.alias("band"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.expr("paths").substr(t * DEPTH + 1, F.lit(x))))).alias("node"))
+    nodes = nodes.select("key", F.explode(F.array(F.xxhash64("node", "band"), F.xxhash64("node", F.col("band") - 1))).alias("node"))
     nodes = ws.table(nodes, "nodes")
-    heads = ws.table(nodes.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "heads")
+    heads = ws.table(nodes.groupBy("node").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "heads")
     stars = lookup_join(nodes, heads.select("node", "head"), "node", "inner", sizes=heads.select("node", "n"))
-    clusters = components(stars.select(F.col("doc_id").alias("u"), F.col("head").alias("v")), ws, "candidates")
+    clusters = components(stars.select(F.col("key").alias("u"), F.col("head").alias("v")), ws, "candidates")
     ws.drop("nodes")
     ws.drop("heads")
 
-    members = clusters.select(F.col("u").alias("doc_id"), F.col("v").alias("cluster"))
-    members = members.unionByName(members.select(F.col("cluster").alias("doc_id"), "cluster").distinct())
-    members = ws.table(members.join(classes.select(F.col("rep_id").alias("doc_id"), "copies"), "doc_id"), "members")
+    members = clusters.select(F.col("u").alias("key"), F.col("v").alias("cluster"))
+    members = members.unionByName(members.select(F.col("cluster").alias("key"), "cluster").distinct())
+    members = ws.table(members.join(classes.select("key", F.col("rep_id").alias("doc_id"), F.col("rep_mark").alias("mark"), "copies"), "key"), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     total = members.count()
     packs = max(1, -(-total // TILE))
     # large clusters are cut into blocks, each pair of blocks a tile; small ones are packed many to a tile
     sized = lookup_join(members, sizes, "cluster", "inner", sizes=sizes.select("cluster", F.col("m").alias("n")))
     blocks = F.ceil(F.col("m") / TILE).cast("int")
-    sized = sized.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    sized = sized.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
 
     def pack(batches):
         compress = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compress(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compress(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary()), b.column(2)], names=["doc_id", "z", "mark"])
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             sets = shingle_sets([unpack(z).decode("utf-8", "replace") for z in b.column(1).to_pylist()], width)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cluster", "copies", "nb", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cluster", "copies", "nb", "block", "shingles"])
 
-    texts = docs.mapInArrow(pack, "doc_id long, z binary").join(sized.select("doc_id", "cluster", "copies", "nb", "block"), "doc_id").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(run, "doc_id long, cluster long, copies long, nb int, block int, shingles binary")
+    texts = docs.mapInArrow(pack, "doc_id long, z binary, mark long").join(sized.select("key", "doc_id", "mark", "cluster", "copies", "nb", "block"), ["doc_id", "mark"]).dropDuplicates(["key"])
+    sets = texts.select("key", "z", "cluster", "copies", "nb", "block").mapInArrow(run, "key long, cluster long, copies long, nb int, block int, shingles binary")
     own = F.col("block")
     spread = F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(2).alias("side")))).otherwise(
         F.transform(
@@ -205,14 +208,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tar
             lambda o: F.struct(F.col("cluster").alias("a"), (F.least(own, o).cast("long") * 1_000_000 + F.greatest(own, o)).alias("b"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side")),
         )
     )
-    tiles = sets.withColumn("t", F.explode(spread)).select("doc_id", "cluster", "copies", "shingles", "t.a", "t.b", "t.side")
+    tiles = sets.withColumn("t", F.explode(spread)).select(F.col("key").alias("doc_id"), "cluster", "copies", "shingles", "t.a", "t.b", "t.side")
     links = ws.table(tiles.groupBy("a", "b").applyInArrow(_verify(threshold), "doc_id long, links long, peer long"), "links")
     ws.drop("members")
     groups = components(links.select(F.col("doc_id").alias("u"), F.col("peer").alias("v")), ws, "groups")
     counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
 
-    table = classes.join(counts.withColumnRenamed("doc_id", "rep_id"), "rep_id", "left").join(groups.select(F.col("u").alias("rep_id"), F.col("v").alias("group")), "rep_id", "left")
-    table = table.select("digest", F.coalesce("group", "rep_id").alias("class_id"), "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    paired = groups.select(F.col("u").alias("key"), F.col("v").alias("group"))
+    paired = paired.unionByName(paired.select(F.col("group").alias("key"), "group")).distinct()
+    paired = ws.table(paired.join(classes.select("key", "rep_id"), "key"), "paired")
+    lows = paired.groupBy("group").agg(F.min("rep_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    paired = lookup_join(paired.select("key", "group"), lows.select("group", "low"), "group", "inner", sizes=lows.select("group", "n")).select("key", "low")
+    table = classes.join(counts.withColumnRenamed("doc_id", "key"), "key", "left").join(paired, "key", "left")
+    table = table.select("digest", F.coalesce("low", "rep_id").alias("class_id"), "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = lookup_join(signed.select("doc_id", "digest", "size"), table, "digest", "left", sizes=classes.select("digest", F.col("copies").alias("n")))
     null = lambda c: F.when(c != F.lit(_NULL_ID), c)
     return out.select(null(F.col("doc_id")).alias("doc_id"), null(F.coalesce("class_id", "doc_id")).alias("class_id"), null(F.coalesce("rep_id", "doc_id")).alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("size").cast("long").alias("n_shingles"))

@@ -208,6 +208,20 @@ def test_near_duplicate_edges(edge, empty):
     assert rows(lsh_forest.near_duplicates(empty)) == []
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    data = []
+    for i in range(12):
+        base = [word() for _ in range(150)]
+        data.append((7 if i < 6 else None, " ".join(base)))  # different texts of one doc_id, and of none
+        data.append((100 + i, " ".join([*base[:-1], "changed"])))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = rows(lsh_forest.near_duplicates(df))
+    assert len(got) == len(data) and all(r["n_links"] == 1 for r in got)
+    assert all(r["class_id"] == (7 if r["doc_id"] < 106 else None) for r in got if r["doc_id"] is not None)
+
+
 def test_prefix_is_shortened_to_the_target():
     assert lsh_forest.prefix_for(0.8, 0.999) == 7 and lsh_forest.recall(0.8, 7) >= 0.999 > lsh_forest.recall(0.8, 8)
 
