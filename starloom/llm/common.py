@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,14 +39,21 @@ def _sweep() -> None:
             return
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset and Spark runs in one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='starloom-')}"
+
+
 class Workspace:
-    """Tables of one operator run, in the shared folder that spark.checkpoint.dir names (a local one where it is unset)."""
+    """Tables of one operator run, in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='starloom-')}"
-        self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         _LEFT.append((spark, self.base))
 
     def path(self, name: str) -> str:
@@ -75,11 +82,26 @@ def ship(spark: SparkSession) -> None:
     sc._starloom_shipped = True
 
 
-def arrow_limits(spark: SparkSession, rows: int = 1000, nbytes: int = 8 << 20) -> None:
-    """Small Arrow batches, so that a batch of very long texts still fits a worker."""
+#: Arrow batches of all operators; plans are lazy, so one bound holds for all of them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def arrow_limits(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a batch of very long texts still fits a worker. Smaller limits of the session stay."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, "0")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+_HASHES = 1 << 60
+
+
+def hash_share(columns: list[str], wanted: int, rows: Column) -> Column:
+    """Whether a row is in a sample of about ``wanted`` of ``rows`` rows, by a hash of its columns; never an empty share."""
+    share = F.least(F.lit(1.0), F.lit(float(wanted)) / F.greatest(rows, F.lit(1)))
+    return F.pmod(F.xxhash64(*columns), F.lit(_HASHES)) < F.ceil(share * float(_HASHES))
 
 
 def fresh(columns: list[str], name: str) -> str:

@@ -55,20 +55,27 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _found(kind: str, pattern: str, group: int) -> str:
-    """(doc_id, kind, i, s, m, g): each match with its start, from the pieces between the matches."""
+def _found(kind: str, pattern: str, group: int, table: str = "d", key: str = "doc_id", text: str = "t") -> str:
+    """(key, kind, i, s, m, g): each match with its start, from the pieces between the matches."""
     p = _quoted(pattern)
-    return f"""SELECT doc_id, '{kind}' AS kind, i, m, g, sum(len(piece) + coalesce(len(before), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (
-      SELECT *, lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
-        SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g, unnest(pieces[:len(ms)]) AS piece, unnest(range(len(ms))) AS i
-        FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS gs, string_split_regex(t, {p}) AS pieces FROM d WHERE regexp_matches(t, {p}))))"""
+    return f"""SELECT {key}, '{kind}' AS kind, i, m, g, sum(len(piece) + coalesce(len(before), 0)) OVER (PARTITION BY {key} ORDER BY i) AS s FROM (
+      SELECT *, lag(m) OVER (PARTITION BY {key} ORDER BY i) AS before FROM (
+        SELECT {key}, unnest(ms) AS m, unnest(gs) AS g, unnest(pieces[:len(ms)]) AS piece, unnest(range(len(ms))) AS i
+        FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS ms, regexp_extract_all({text}, {p}, {group}) AS gs, string_split_regex({text}, {p}) AS pieces FROM {table} WHERE regexp_matches({text}, {p}))))"""
 
 
 def _secrets() -> str:
     repeats = "|".join(f"[{c}]{{6}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_") + "|-{6}"
-    allow = _quoted(S.ALLOW.rpartition("|")[0] + "|" + repeats)
+    allow = S.ALLOW.rpartition("|")[0] + "|" + repeats
     order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.KINDS))
     w = S.WINDOW
+    has = lambda c: f"regexp_matches(x, '[{c}]')"
+    classes = {
+        "entropy_hex": f"part AND regexp_full_match(x, '[0-9a-fA-F]+') AND {has('0-9')}", "entropy_mixed": f"part AND {has('0-9')} AND {has('A-Z')} AND {has('a-z')}",
+        "entropy_lower": f"part AND regexp_full_match(x, '[0-9a-z]+') AND {has('0-9')} AND {has('a-z')} AND {has('g-z')}", "entropy_upper": f"part AND regexp_full_match(x, '[0-9A-Z]+') AND {has('0-9')} AND {has('A-Z')} AND {has('G-Z')}",
+        "entropy_letters": "NOT part",
+    }
+    high = " UNION ALL ".join(f"SELECT id, s, j, '{k}' AS kind FROM counted WHERE bits >= {S.THRESHOLDS[k]} - 1e-12 AND {c}" for k, c in classes.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
@@ -76,15 +83,18 @@ base AS (
   UNION ALL SELECT doc_id, kind, s, s + len(m) FROM ({_found("access", "AKIA[A-Z0-9]+", 0)}) WHERE len(m) >= 20
   UNION ALL SELECT doc_id, kind, s, s + len(m) FROM ({_found("hex", "[0-9a-f]{24,}", 0)})
 ),
-candidate AS (SELECT doc_id, i, s, m FROM ({_found("candidate", S.CANDIDATE, 0)}) WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, {allow})),
-windows AS (SELECT doc_id, i, s, j, substr(m, j::INT + 1, {w}) AS x FROM (SELECT *, unnest(range(len(m) - {w} + 1)) AS j FROM candidate)),
-counted AS (SELECT doc_id, i, s, j, x, log2({w}) - sum(c * log2(c)) / {w} AS bits FROM (SELECT doc_id, i, s, j, x, ch, count(*) AS c FROM (SELECT *, unnest(string_split(x, '')) AS ch FROM windows) GROUP BY ALL) GROUP BY ALL),
-high AS (
-  SELECT doc_id, i, s, j, 'entropy_hex' AS kind FROM counted WHERE bits >= {S.THRESHOLDS["entropy_hex"]} AND regexp_full_match(x, '[0-9a-fA-F]+') AND regexp_matches(x, '[0-9]')
-  UNION ALL SELECT doc_id, i, s, j, 'entropy_mixed' FROM counted WHERE bits >= {S.THRESHOLDS["entropy_mixed"]} AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')
+candidate AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, part, i) AS id FROM (
+    SELECT doc_id, i, s, m, true AS part FROM ({_found("candidate", S.CANDIDATE, 0)}) WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    UNION ALL SELECT doc_id, i, s, m, false FROM ({_found("letters", "[A-Za-z0-9]{20,}", 0)}) WHERE NOT regexp_matches(m, '[0-9]'))
 ),
-islands AS (SELECT *, count(*) FILTER (WHERE j > p + {w}) OVER (PARTITION BY doc_id, i, kind ORDER BY j) AS island FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id, i, kind ORDER BY j) AS p FROM high)),
-added AS (SELECT doc_id, kind, any_value(s) + min(j) AS s, any_value(s) + max(j) + {w} AS e FROM islands GROUP BY doc_id, i, kind, island),
+allowed AS (SELECT id, s AS a, s + len(m) AS z FROM ({_found("allowed", allow, 0, "candidate", "id", "m")})),
+windows AS (SELECT w.* FROM (SELECT id, s, part, j, substr(m, j::INT + 1, {w}) AS x FROM (SELECT *, unnest(range(len(m) - {w} + 1)) AS j FROM candidate)) w
+            WHERE NOT EXISTS (SELECT 1 FROM allowed l WHERE l.id = w.id AND l.a < w.j + {w} AND w.j < l.z)),
+counted AS (SELECT id, s, part, j, x, log2({w}) - sum(c * log2(c)) / {w} AS bits FROM (SELECT id, s, part, j, x, ch, count(*) AS c FROM (SELECT *, unnest(string_split(x, '')) AS ch FROM windows) GROUP BY ALL) GROUP BY ALL),
+high AS ({high}),
+islands AS (SELECT *, count(*) FILTER (WHERE j > p + {w}) OVER (PARTITION BY id, kind ORDER BY j) AS island FROM (SELECT *, lag(j) OVER (PARTITION BY id, kind ORDER BY j) AS p FROM high)),
+added AS (SELECT doc_id, kind, s, e FROM (SELECT id, kind, any_value(s) + min(j) AS s, any_value(s) + max(j) + {w} AS e FROM islands GROUP BY id, kind, island) JOIN (SELECT id, doc_id FROM candidate) USING (id)),
 free AS (SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)),
 spans AS (SELECT *, true AS own FROM base UNION ALL SELECT *, false FROM free),
 joined AS (

@@ -131,7 +131,7 @@ def _page(uri: str | None) -> int | None:
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row for each record, archive by archive, in the archives' order. Raises if a payload has another digest than stated."""
-    arrow_limits(spark, 8, 64 << 20)
+    arrow_limits(spark)
 
     def run(batches):
         for b in batches:
