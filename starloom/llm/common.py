@@ -90,7 +90,7 @@ def arrow_limits(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts still fits a worker. Smaller limits of the session stay."""
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key)
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
