@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Workspace, append_columns, arrow_limits, lookup_join
+from .common import BROADCAST_ROWS, Workspace, append_columns, arrow_limits, hash_share, lookup_join
 from .kernels import _BASE, U, chunks, mix, normal, words
 
 BITS = 18
@@ -116,9 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> tuple[Cl
     """Classifiers of quality and toxicity from at most about sample_docs labelled documents (by a hash of doc_id)."""
     arrow_limits(docs.sparkSession)
     labels = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    n = labels.count()
-    share = int(min(1.0, sample_docs / max(n, 1)) * (1 << 20))
-    few = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    few = labels.where(hash_share(["doc_id"], sample_docs, F.lit(labels.count())))
     few = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "quality", "toxic")
 
     def run(batches):
@@ -209,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, toxic_t
     """(doc_id, doc_score, host_posterior, path_posterior, quality_score, toxic_score, keep): keep if quality is at or over threshold and toxicity under toxic_threshold."""
     ws = Workspace(docs.sparkSession, "quality")
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
-    few = docs.select("doc_id", F.col("text").cast("string").alias("text"), value("source").alias("host"), F.concat_ws("/", value("source"), value("lang")).alias("path"))
+    few = docs.select("doc_id", F.col("text").cast("string").alias("text"), value("source").alias("host"), F.struct(value("source").alias("host"), value("lang").alias("lang")).alias("path"))
     scored = ws.table(evidence(few, *fit(docs, labels)).drop("text"), "scored")
     out = hierarchical(scored, ws)
     toxic = _sigmoid(F.col("__toxic"))
