@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, arrow_limits
+from .common import append_columns, arrow_limits, hash_share
 from .kernels import U, chunks
 
 ORDER = 4
@@ -106,14 +106,14 @@ class Model:
         if self._keys is None:
             self._shift = U(64 - (20 if len(self.langs) <= 8 else min(16, max(8, 24 - len(self.langs).bit_length()))))
             self._keys = np.full(1 << 64 - int(self._shift), np.iinfo(np.uint64).max, U)
-            self._values = np.zeros((len(self._keys), len(self.langs)), np.float32)
+            self._values = np.zeros((len(self._keys), len(self.langs)))
         with np.errstate(over="ignore"):
             slot = (w * U(0x9E3779B97F4A7C15)) >> self._shift
         out = self._values[slot]
         miss = np.flatnonzero(self._keys[slot] != w)
         if len(miss):
             new, inverse = np.unique(w[miss], return_inverse=True)
-            costs = np.stack([t.bits(new) for t in self.trees], axis=1).astype(np.float32)
+            costs = np.stack([t.bits(new) for t in self.trees], axis=1)
             out[miss] = costs[inverse]
             with np.errstate(over="ignore"):
                 to = (new * U(0x9E3779B97F4A7C15)) >> self._shift
@@ -161,9 +161,8 @@ def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = 1500) -> Model:
     """A model of docs (text, lang, doc_id). sample_docs: texts used of each language."""
     arrow_limits(docs.sparkSession)
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("lang", "text", "doc_id")
-    share = F.floor(F.least(F.lit(1.0), F.lit(sample_docs) / F.count(F.lit(1))) * (1 << 20))
-    few = docs.join(F.broadcast(docs.groupBy("lang").agg(share.alias("share"))), "lang")
-    few = few.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
+    few = docs.join(F.broadcast(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))), "lang")
+    few = few.where(hash_share(["doc_id", "text"], sample_docs, F.col("rows"))).select("lang", "text")
     rows = _count(few, order).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = rows["lang"].combine_chunks().dictionary_encode()
     at, grams, counts = langs.indices.to_numpy(), rows["gram"].to_numpy().astype(U), rows["n"].to_numpy().astype(float)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.llm import components, decontam, kernels, lang_ppm, lcp, line_dedup, lsh_forest, mixing, quality, secret_scan, tokens, warc
-from starloom.llm.common import Workspace, lookup_join
+from starloom.llm.common import Workspace, hash_share, lookup_join
 from starloom.llm.queries import QUERIES, tokenizer_path
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -67,6 +67,54 @@ def test_ppm_codes_are_exact_probabilities():
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def plain_bits(texts, text, order=4):
+    """The code length of text by context counts of texts, byte by byte, with exclusion of bytes tried in longer contexts."""
+    seen = {}
+    for t in texts:
+        raw = b"\n" * order + t
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                seen.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+    raw, bits = b"\n" * order + text, 0.0
+    for i in range(order, len(raw)):
+        tried = set()
+        for k in range(order, -1, -1):
+            here = {c: n for c, n in seen.get(raw[i - k : i], {}).items() if c not in tried}
+            if here:
+                whole = sum(here.values()) + len(here)
+                if raw[i] in here:
+                    bits -= math.log2(here[raw[i]] / whole)
+                    break
+                bits -= math.log2(len(here) / whole)
+                tried |= set(here)
+        else:
+            bits += math.log2(256 - len(tried))
+    return bits
+
+
+def test_language_codes_match_plain_ppm(spark):
+    rng = random.Random(6)
+    kinds = {"aa": "abcd é", "bb": "abef ü\n", "cc": "xyz日"}
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    known = [(i, text(kinds[k], rng.randrange(1, 60)), k) for i, k in enumerate(sorted(kinds) * 15)]
+    model = lang_ppm.fit(spark.createDataFrame(known, "doc_id long, text string, lang string").repartition(3))
+    new = [text("abcdefxyz é日q", rng.randrange(1, 40)) for _ in range(60)] + [text(kinds[k], 30) for k in kinds]
+    want = np.array([[plain_bits([t.encode() for _, t, x in known if x == k], t.encode()) for k in sorted(kinds)] for t in new])
+    assert np.allclose(model.code_lengths([t.encode() for t in new]), want, rtol=0, atol=1e-6)
+    out = {r["doc_id"]: r for r in rows(lang_ppm.identify(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model))}
+    for i, t in enumerate(new):
+        if re.search(r"[^\W\d_]", t):
+            assert out[i]["lang_pred"] == sorted(kinds)[want[i].argmin()]
+            assert out[i]["score"] == pytest.approx(1 / sum(2.0 ** (want[i].min() - x) for x in want[i]), abs=1e-9)
+
+
+def test_samples_are_never_empty(spark):
+    one = spark.range(200_000).select(F.col("id").alias("doc_id"))
+    picked = lambda rows: one.where(hash_share(["doc_id"], 1500, F.lit(rows))).count()
+    assert picked(200) == 200_000 and 1200 < picked(200_000) < 1800
+    assert one.sparkSession.range(1).select((F.ceil(F.least(F.lit(1.0), F.lit(1500.0) / F.lit(10**15)) * float(1 << 60)) > 0).alias("x")).first().x
+
+
 def test_language_held_out_accuracy(spark):
     out = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -152,6 +200,18 @@ def test_token_counts(spark, edge, empty):
     assert rows(tokens.count_tokens(empty, tokenizer_path("word_bpe_49k.json"))) == []
 
 
+def test_token_counts_of_any_script_and_long_words(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    tok, rng = tokens.PreTokens(path).tok, random.Random(7)
+    scripts = ["日本語の文章", "العربية نص", "हिन्दी पाठ", "한국어", "😀🎉👩‍👩‍👧", "İstanbul ẞ ΣΑΣ ς", "ﬁ ½ Ⅷ", "e\u0301 n\u0303", "\u200b\u200d\ufeff", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "'S it'LL", "plain words 12 a.b"]
+    texts = ["".join(rng.choice([*scripts, " ", "\n"]) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    texts += ["x" * 200_000, "ab" * 3000 + "日" * 3000, "日" * 70 + " " + "日" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows(tokens.count_tokens(df, path)):
+        assert r["n_tokens"] == len(tok.encode(r["text"], add_special_tokens=False)), r["text"][:80]
+        assert r["n_bytes"] == len(r["text"].encode())
+
+
 def brute_links(data, threshold=0.8):
     sets = [set(s.tolist()) for s in lsh_forest.shingle_sets([t for _, t in data], 5)]
     links, root = [0] * len(data), list(range(len(data)))
@@ -356,6 +416,55 @@ def test_sites_are_shrunk(spark):
     assert got["low"]["path_posterior"] < got["tiny"]["path_posterior"] < got["new"]["path_posterior"] < got["big"]["path_posterior"]
 
 
+def test_sites_of_like_names_stay_apart(spark):
+    data = [(1, "good words here", "c", "a/b"), (2, "bad words there", "b/c", "a"), (3, None, None, "a/b"), (3, None, "c", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r["doc_id"] for r in rows(quality.classify(df, labels))) == [1, 2, 3, 3]
+
+
+def test_posteriors_by_hand(spark):
+    rng = random.Random(3)
+    data = []
+    for h in range(12):
+        for path in range(rng.choice([1, 2, 3])):
+            for _ in range(rng.choice([1, 2, 5, 30])):
+                words = rng.random() < 0.9
+                data.append((len(data), f"h{h}", f"h{h}/{path}", rng.gauss(h / 4 - 1, 1) if words else 0.0, -3.0, words))
+    df = spark.createDataFrame(data, "doc_id long, host string, path string, __quality double, __toxic double, __words boolean")
+    p = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda x: math.log(x / (1 - x))
+
+    def sums(at):
+        out = {}
+        for r in data:
+            if r[5]:
+                out.setdefault(r[at], []).append(p(r[3]))
+        return {r[at]: out.get(r[at], []) for r in data}
+
+    def strength(groups, center):
+        big = {k: v for k, v in groups.items() if len(v) >= 2}
+        n = sum(map(len, big.values()))
+        mean = {k: sum(v) / len(v) for k, v in big.items()}
+        whole = sum(len(v) * center(k) * (1 - center(k)) for k, v in big.items()) / n
+        between = sum(len(v) * (mean[k] - center(k)) ** 2 for k, v in big.items()) / n
+        within = sum(max(0, sum(x * x for x in v) / len(v) - mean[k] ** 2) for k, v in big.items()) / n
+        return min(max(whole / max(between - within, 1e-6) - 1, 1.0), 10_000.0)
+
+    hosts, paths = sums(1), sums(2)
+    every = [x for v in hosts.values() for x in v]
+    prior = (sum(every) + 0.5) / (len(every) + 1)
+    a = strength(hosts, lambda _: prior)
+    host = {k: (sum(v) + a * prior) / (len(v) + a) for k, v in hosts.items()}
+    up = lambda k: host[k.split("/")[0]]
+    b = strength(paths, up)
+    path = {k: (sum(v) + b * up(k)) / (len(v) + b) for k, v in paths.items()}
+    for r in rows(quality.hierarchical(df, Workspace(spark, "t"))):
+        assert r["host_posterior"] == pytest.approx(host[r["host"]], abs=1e-9) and r["path_posterior"] == pytest.approx(path[r["path"]], abs=1e-9)
+        want = p(r["__quality"] + 0.5 * (logit(path[r["path"]]) - logit(prior))) if r["__words"] else path[r["path"]]
+        assert r["__posterior"] == pytest.approx(want, abs=1e-9)
+
+
 def plain_spans(text):
     """The base spans and the entropy spans, with every window counted anew."""
     base = []
