@@ -1,12 +1,16 @@
 """Similarity join on word shingles with a MinHash LSH forest and exact verification.
 
-Each distinct set of five-word shingles gets ``TREES`` paths of ``DEPTH`` MinHash bytes; the paths of a tree, ordered, are its
-prefix trie. Two sets of Jaccard similarity s share a prefix of x bytes in at least one tree with probability
-1 - (1 - s^x)^TREES; starting at the full depth the matched prefix is shortened until that reaches the target recall at the
-threshold. Sets in one trie node and of compatible size are joined to the node's smallest document; the components of these
-links are candidate clusters, and within each of them every pair is verified exactly (so pairs that no tree joined are found
-there too). Clusters are verified in tiles of bounded size; a tile emits the number of links of each document and one link to
-its smallest connected document, never its pairs.
+Each distinct set of five-word shingles gets ``TREES`` paths of ``DEPTH`` MinHash bytes; the sorted paths of a tree are its prefix
+trie. Two sets of Jaccard similarity s share a prefix of x bytes in at least one tree with probability 1 - (1 - s^x)^TREES. The
+shortest prefix that may be needed (the longest with the target recall at the threshold) gives subtries; inside each of them,
+sorted by the rest of the path, the matched prefix starts at the full depth and is shortened byte by byte until all sets of
+the subtrie are joined or the target recall is reached. Two sets that match are a candidate pair if the bytes after the shortest
+prefix (of all trees) agree as often as those of similar sets do but for one pair in 10^4 or so; pairs that only chance or a
+common frame brought together do not join anything. Subtries of over ``NODE_ROWS`` sets are joined whole.
+
+The components of the candidate pairs are verified exactly, every pair inside of them (so links that no tree showed are found
+there too), in tiles of bounded size; a tile emits the number of links of each document and one link to its smallest connected
+document, never its pairs. Classes are the components of verified links only.
 
 Results: class_id is the smallest doc_id of the document's group (connected by links), rep_id the smallest with the same
 shingle set, n_links the number of other rows with similarity at or over the threshold (copies included).
@@ -31,7 +35,10 @@ from .components import components
 from .kernels import U, chunks, mix, shingles
 
 TREES, DEPTH = 32, 10
-TILE = 1024
+#: Sets, and shingles of sets, on each side of a tile; one set alone may have more.
+TILE, TILE_SHINGLES = 1024, 2 << 20
+#: Sets of a subtrie that are compared with each other.
+NODE_ROWS = 4096
 _NULL_ID = -(1 << 63)
 
 
@@ -78,23 +85,96 @@ def _strings(column: pa.Array) -> list[str | None]:
     return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
+def _signed(docs: DataFrame, width: int, x: int) -> DataFrame:
+    """(doc_id, digest, size, heads, tails, mark): the first x bytes of each path, and the others."""
+
     def run(batches):
         for b in batches:
             texts = _strings(b.column(1))
-            digests, sizes, sigs = [], [], []
+            digests, sizes, heads, tails = [], [], [], []
             for t, s in zip(texts, shingle_sets(texts, width)):
                 sizes.append(len(s))
                 if len(s):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sigs.append(paths(s))
+                    path = np.frombuffer(paths(s), np.uint8).reshape(TREES, DEPTH)
+                    heads.append(path[:, :x].tobytes())
+                    tails.append(path[:, x:].tobytes())
                 else:
                     bare = (t or "").strip()
                     digests.append(hashlib.blake2b(b"\0" + bare.encode("utf-8", "replace"), digest_size=16).digest() if bare else None)
-                    sigs.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), b.column(2)], names=["doc_id", "digest", "size", "paths", "mark"])
+                    heads.append(None)
+                    tails.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), pa.array(tails, pa.binary()), b.column(2)], names=["doc_id", "digest", "size", "heads", "tails", "mark"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, size int, heads binary, tails binary, mark long")
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Makes i and j of one component; root: the smallest row of each row's component."""
+    while len(i):
+        a, b = root[i], root[j]
+        off = a != b
+        i, j, a, b = i[off], j[off], a[off], b[off]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root[:] = up
+
+
+def joined(node: np.ndarray, tree: np.ndarray, tails: np.ndarray, least: float) -> np.ndarray:
+    """The first row of each row's component in whole subtries, sorted by node and own tail. tails: (rows, TREES, bytes)."""
+    n, rest = len(node), tails.shape[2]
+    own, sketch = tails[np.arange(n), tree], tails.reshape(n, -1)
+    begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    sizes = np.diff(np.r_[begin, n])
+    end, trie = np.repeat(begin + sizes, sizes), np.repeat(np.arange(len(begin)), sizes)
+    root, open_ = np.arange(n), sizes > 1
+    for depth in range(rest, -1, -1):
+        rows, k = np.flatnonzero(open_[trie]), 1
+        while len(rows):
+            rows = rows[rows + k < end[rows]]
+            a = rows[root[rows] != root[rows + k]]
+            a = a[(own[a, :depth] == own[a + k, :depth]).all(axis=1)]
+            if depth < rest:  # longer matches were tried before
+                a = a[own[a, depth] != own[a + k, depth]]
+            a = a[(sketch[a] == sketch[a + k]).sum(axis=1) >= least * sketch.shape[1]]
+            _join(root, a, a + k)
+            k += 1
+        open_ &= np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+        if not open_.any():
+            break
+    return root
+
+
+def _edges(threshold: float, rest: int):
+    """(u, v) for each set of sorted subtries and the first one it is joined to."""
+    bytes_ = max(1, TREES * rest)
+    least = threshold - 4.3 * (threshold * (1 - threshold) / bytes_) ** 0.5 if rest else 0.0
+
+    def run(batches):
+        kept: list[np.ndarray] = []
+
+        def done(node, tree, key, tails):
+            root = joined(node, tree, tails.reshape(len(node), TREES, rest), least)
+            own = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(key[root[own]])], names=["u", "v"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, size int, paths binary, mark long")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tails = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, TREES * rest)
+            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), tails]
+            now = [np.concatenate(x) for x in zip(kept, now)] if kept else now
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last subtrie may go on in the next batch
+            if last:
+                yield done(*(x[:last] for x in now))
+            kept = [x[last:] for x in now]
+        if kept:
+            yield done(*kept)
+
+    return run
 
 
 def _verify(threshold: float):
@@ -160,32 +240,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tar
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a text is known by its doc_id and mark, a set of shingles by a key from its digest: one doc_id may stand on several texts
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    signed = ws.table(_signed(docs, width), "signed")
-    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = ws.table(classes.select("digest", F.xxhash64("digest").alias("key"), F.col("first.doc_id").alias("rep_id"), F.col("first.mark").alias("rep_mark"), "copies"), "classes")
-    reps = signed.where(F.col("size") > 0).join(classes.select("digest", "key", F.col("rep_id").alias("doc_id"), F.col("rep_mark").alias("mark"), "copies"), ["doc_id", "digest", "mark"]).dropDuplicates(["key"])
-
-    # trie nodes of the matched prefix; a node holds sets of one size band and the next, so sizes in it are compatible
     x = prefix_for(threshold, target)
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(threshold))).cast("int")
-    nodes = reps.select("key", band.alias("band"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.expr("paths").substr(t * DEPTH + 1, F.lit(x))))).alias("node"))
-    nodes = nodes.select("key", F.explode(F.array(F.xxhash64("node", "band"), F.xxhash64("node", F.col("band") - 1))).alias("node"))
+    signed = ws.table(_signed(docs, width, x), "signed")
+    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"))
+    classes = ws.table(classes.select("digest", F.xxhash64("digest").alias("key"), F.col("first.doc_id").alias("rep_id"), F.col("first.mark").alias("rep_mark"), "copies", "size"), "classes")
+    reps = signed.where(F.col("size") > 0).join(classes.select("digest", "key", F.col("rep_id").alias("doc_id"), F.col("rep_mark").alias("mark")), ["doc_id", "digest", "mark"]).dropDuplicates(["key"])
+    reps = ws.table(reps.select("key", "heads", "tails"), "reps")
+
+    head = lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.expr("heads").substr(t * x + 1, F.lit(x))).alias("node"))
+    nodes = reps.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), head)).alias("at")).select("key", "at.tree", "at.node")
     nodes = ws.table(nodes, "nodes")
     heads = ws.table(nodes.groupBy("node").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "heads")
-    stars = lookup_join(nodes, heads.select("node", "head"), "node", "inner", sizes=heads.select("node", "n"))
-    clusters = components(stars.select(F.col("key").alias("u"), F.col("head").alias("v")), ws, "candidates")
-    ws.drop("nodes")
-    ws.drop("heads")
+    members = lookup_join(nodes, heads.select("node", "head", F.col("n").alias("sets")), "node", "inner", sizes=heads.select("node", "n"))
+    whole = members.where(F.col("sets") > NODE_ROWS).select(F.col("key").alias("u"), F.col("head").alias("v"))
+    small = members.where(F.col("sets") <= NODE_ROWS).join(reps.select("key", "tails"), "key")
+    own = F.expr("tails").substr(F.col("tree") * (DEPTH - x) + 1, F.lit(DEPTH - x))
+    small = small.select("node", "tree", "key", "tails", own.alias("own")).repartition("node").sortWithinPartitions("node", "own", "key")
+    pairs = small.select("node", "tree", "key", "tails").mapInArrow(_edges(threshold, DEPTH - x), "u long, v long")
+    clusters = components(whole.unionByName(pairs), ws, "candidates")
+    for name in ("reps", "nodes", "heads"):
+        ws.drop(name)
 
     members = clusters.select(F.col("u").alias("key"), F.col("v").alias("cluster"))
     members = members.unionByName(members.select(F.col("cluster").alias("key"), "cluster").distinct())
-    members = ws.table(members.join(classes.select("key", F.col("rep_id").alias("doc_id"), F.col("rep_mark").alias("mark"), "copies"), "key"), "members")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    total = members.count()
-    packs = max(1, -(-total // TILE))
+    members = ws.table(members.join(classes.select("key", F.col("rep_id").alias("doc_id"), F.col("rep_mark").alias("mark"), "copies", "size"), "key"), "members")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    total = members.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
+    packs = 1 + max(total.m // TILE, total.s // TILE_SHINGLES)
     # large clusters are cut into blocks, each pair of blocks a tile; small ones are packed many to a tile
     sized = lookup_join(members, sizes, "cluster", "inner", sizes=sizes.select("cluster", F.col("m").alias("n")))
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int")
     sized = sized.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
 
     def pack(batches):
@@ -202,14 +286,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tar
     texts = docs.mapInArrow(pack, "doc_id long, z binary, mark long").join(sized.select("key", "doc_id", "mark", "cluster", "copies", "nb", "block"), ["doc_id", "mark"]).dropDuplicates(["key"])
     sets = texts.select("key", "z", "cluster", "copies", "nb", "block").mapInArrow(run, "key long, cluster long, copies long, nb int, block int, shingles binary")
     own = F.col("block")
-    spread = F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(2).alias("side")))).otherwise(
+    spread = F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("a"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(2).alias("side")))).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.col("nb") - 1),
-            lambda o: F.struct(F.col("cluster").alias("a"), (F.least(own, o).cast("long") * 1_000_000 + F.greatest(own, o)).alias("b"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side")),
+            lambda o: F.struct(F.col("cluster").alias("a"), F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side")),
         )
     )
-    tiles = sets.withColumn("t", F.explode(spread)).select(F.col("key").alias("doc_id"), "cluster", "copies", "shingles", "t.a", "t.b", "t.side")
-    links = ws.table(tiles.groupBy("a", "b").applyInArrow(_verify(threshold), "doc_id long, links long, peer long"), "links")
+    tiles = sets.withColumn("t", F.explode(spread)).select(F.col("key").alias("doc_id"), "cluster", "copies", "shingles", "t.a", "t.lo", "t.hi", "t.side")
+    links = ws.table(tiles.groupBy("a", "lo", "hi").applyInArrow(_verify(threshold), "doc_id long, links long, peer long"), "links")
     ws.drop("members")
     groups = components(links.select(F.col("doc_id").alias("u"), F.col("peer").alias("v")), ws, "groups")
     counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))

@@ -283,6 +283,51 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert all(r["class_id"] == (7 if r["doc_id"] < 106 else None) for r in got if r["doc_id"] is not None)
 
 
+def test_subtries_join_similar_sets_only():
+    rng = np.random.default_rng(5)
+    node, tree, tails = [], [], []
+    for n in (1, 2, 3, 40, 1, 2):  # in each subtrie sets alike pairwise by turns
+        base = rng.integers(0, 256, (2, lsh_forest.TREES, 3), np.uint8)
+        for k in range(n):
+            t = base[k % 2].copy()
+            t[rng.random(t.shape) < 0.1] = 7
+            node.append(len(set(node)) if not k else node[-1])
+            tree.append(k % lsh_forest.TREES)
+            tails.append(t)
+    node, tree, tails = np.array(node), np.array(tree), np.array(tails)
+    own = tails[np.arange(len(node)), tree]
+    order = np.lexsort((own[:, 2], own[:, 1], own[:, 0], node))
+    root = lsh_forest.joined(node[order], tree[order], tails[order], 0.6)
+    like = (tails[order][:, None] == tails[order][None]).mean(axis=(2, 3)) >= 0.6
+    like &= node[order][:, None] == node[order][None]
+    group = np.arange(len(node))
+    for _ in range(len(node)):
+        group = np.array([group[row].min() for row in like])
+    assert (root == group).all()
+
+
+def test_near_duplicate_recall_against_all_pairs(spark):
+    data = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets = lsh_forest.shingle_sets([t for _, t in data], 5)
+    size = np.array([len(s) for s in sets])
+    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+    length = np.diff(np.r_[begin, len(flat)])
+    group = np.empty(len(flat), np.int64)
+    group[order] = np.repeat(np.arange(len(begin)), length)
+    at, n_links = np.r_[0, np.cumsum(size)], np.zeros(len(sets), np.int64)
+    for i in range(len(sets)):
+        g = group[at[i] : at[i + 1]]
+        n = length[g]
+        spots = np.repeat(begin[g] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        common = np.bincount(owner[order[spots]], minlength=len(sets))
+        n_links[i] = ((common * 10 >= 8 * (size[i] + size - common)) & (common > 0)).sum() - (size[i] > 0)
+    got = {r.doc_id: r.n_links for r in lsh_forest.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(8)).where("n_shingles > 0").collect()}
+    want = {d: int(n) for (d, _), n, k in zip(data, n_links, size) if k}
+    assert all(got[d] <= n for d, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values()) > 0
+
+
 def test_prefix_is_shortened_to_the_target():
     assert lsh_forest.prefix_for(0.8, 0.999) == 7 and lsh_forest.recall(0.8, 7) >= 0.999 > lsh_forest.recall(0.8, 8)
 
