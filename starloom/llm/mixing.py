@@ -12,7 +12,7 @@ The topic of a document is its most frequent word of five bytes or more (ties: s
 
 Defined results: null source or lang is a value of its own; documents without words (null, empty) weigh nothing: probability 1,
 always sampled, as they change no margin; a document without long words has topic -1; rows with equal doc_id are sampled
-together; an empty table gives an empty result.
+together; an empty table gives an empty result; other columns pass through, those with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ SPARK_CELLS = 250_000
 #: Raking stops after so many rounds, or when all steps of a round are within the tolerance.
 ROUNDS, TOLERANCE = 500, 1e-9
 _NULL = "\u0000null"
+_RESULTS = ("__tokens", "__topic", "__probability", "__sampled")
 
 
 def with_topics(docs: DataFrame, topics: int = 8) -> DataFrame:
@@ -184,12 +185,18 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(_NULL)), F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def mix_sources(docs: DataFrame, fraction: float = 0.5, alpha: float = 0.5, topics: int = 8, seed: int = 17, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """docs with __tokens, __topic, __probability and __sampled. targets: tokens of each margin's values instead of tempered ones."""
+def mix_sources(docs: DataFrame, fraction: float = 0.5, alpha: float = 0.5, topics: int = 8, seed: int = 17, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
+    """docs (or only their columns keep) with __tokens, __topic, __probability and __sampled.
+
+    targets: tokens of each margin's values instead of tempered ones. Texts are read once: what is kept is written with its counts.
+    """
     ws = Workspace(docs.sparkSession, "mixing")
-    full = with_topics(docs, topics)
-    cell = F.xxhash64(_value("source"), _value("lang"), F.col("__topic"))
-    keys = {"source": _value("source"), "lang": _value("lang"), "topic": F.col("__topic").cast("string")}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in _RESULTS]
+    source, lang = (fresh(docs.columns, c) for c in ("source_", "lang_"))
+    full = with_topics(docs.withColumn(source, _value("source")).withColumn(lang, _value("lang")), topics)
+    full = ws.table(full.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, "doc_id"])), source, lang, "__tokens", "__topic"), "counted")
+    cell = F.xxhash64(source, lang, "__topic")
+    keys = {"source": F.col(source), "lang": F.col(lang), "topic": F.col("__topic").cast("string")}
     counted = full.groupBy(*(v.alias(k) for k, v in keys.items()), cell.alias("cell")).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     counted = ws.table(counted, "cells")
     cells = counted.where(F.col("tokens") > 0)
@@ -222,4 +229,4 @@ def mix_sources(docs: DataFrame, fraction: float = 0.5, alpha: float = 0.5, topi
     else:
         full = lookup_join(full, weights, key, "left", sizes=counted.select(F.col("cell").alias(key), "n"))
     chance = F.when(F.col("__tokens") == 0, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(1.0)))
-    return full.withColumn("__probability", chance).withColumn("__sampled", uniform(F.col("doc_id"), seed) < F.col("__probability")).drop(key, value)
+    return full.withColumn("__probability", chance).withColumn("__sampled", uniform(F.col("doc_id"), seed) < F.col("__probability")).select(*(F.col(f"`{c}`") for c in kept), *_RESULTS)

@@ -27,8 +27,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
+    out = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep=["doc_id"])
+    return out.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_words"), F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"))
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links", "n_shingles")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
