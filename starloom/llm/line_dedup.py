@@ -30,7 +30,6 @@ from .kernels import U, mix
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _LAST_ID = (1 << 63) - 1
-SLOTS = 1 << 15
 
 
 class CuckooFilter:
@@ -43,7 +42,7 @@ class CuckooFilter:
             buckets = 1 << max(3, int(np.ceil(np.log2(max(capacity, 1) / (self.WIDTH * 0.8)))))
             table = np.zeros((buckets, self.WIDTH), np.uint16)
         self.table = table
-        self.stash = list(stash or [])  # hashes that found no place; looked up exactly
+        self.stash = set(stash or ())  # hashes that found no place; looked up exactly
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mask = U(len(self.table) - 1)
@@ -90,14 +89,14 @@ class CuckooFilter:
             if not placed:
                 for b, k, f in reversed(trail):  # put everything back; the key goes to the stash
                     self.table[b, k] = f
-                self.stash.append(int(h[i]))
+                self.stash.add(int(h[i]))
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         h = np.asarray(hashes, U)
         prints, one, two = self._places(h)
         found = (self.table[one] == prints[:, None]).any(axis=1) | (self.table[two] == prints[:, None]).any(axis=1)
         if self.stash:
-            found |= np.isin(h, np.array(self.stash, U))
+            found |= np.isin(h, np.array(sorted(self.stash), U))
         return found
 
     def delete(self, hashes: np.ndarray) -> None:
@@ -115,7 +114,7 @@ class CuckooFilter:
                     break
 
     def dump(self) -> bytes:
-        return np.array([len(self.stash)], U).tobytes() + np.array(self.stash, U).tobytes() + self.table.tobytes()
+        return np.array([len(self.stash)], U).tobytes() + np.array(sorted(self.stash), U).tobytes() + self.table.tobytes()
 
     @classmethod
     def load(cls, blob: bytes) -> CuckooFilter:
@@ -137,7 +136,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _hashes(keys: pa.Array) -> np.ndarray:
-    """The last eight bytes of each key; its shard comes from the first two."""
+    """The last eight bytes of each key; its shard comes from the first four."""
     raw = np.frombuffer(b"".join(keys.to_pylist()), U)
     return raw[1::2]
 
@@ -160,7 +159,7 @@ def postings(docs: DataFrame, min_chars: int = 10) -> DataFrame:
                 own = {k for x in t.split(b"\n") if (k := key_of(x, min_chars))}
                 ids += [d] * len(own)
                 keys += own
-            slots = np.frombuffer(b"".join(keys), np.uint16)[::8].astype(np.int32) % SLOTS if keys else np.empty(0, np.int32)
+            slots = (np.frombuffer(b"".join(keys), np.uint32)[::4] >> 1).astype(np.int32) if keys else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(slots)], names=["doc_id", "key", "slot"])
 
     return docs.select(doc_order(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _POSTING)
@@ -174,14 +173,23 @@ class LineIndex:
     """Postings, reference counts and filters of the documents inserted so far."""
 
     def __init__(self, docs: DataFrame, min_chars: int = 10, shard_rows: int = 200_000):
-        """shard_rows: postings a shard should hold; it sets the number of shards, 64 at least."""
+        """shard_rows: postings a shard should hold; it sets the number of shards, 64 at least, anew whenever the shared keys have doubled."""
         self.ws, self.min_chars = Workspace(docs.sparkSession, "line-index"), min_chars
         self.version = 0
         self.postings = self.ws.table(postings(docs, min_chars), "postings-0")
         self.refs = self.ws.table(_counted(self.postings), "refs-0")
-        self.total = self.refs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.shards = max(64, min(SLOTS, -(-self.total // shard_rows)))
-        self.filters = self.ws.table(self._build(self._shared(self.refs)), "filters-0")
+        self.shard_rows = shard_rows
+        self._size()
+        self._rebuild("filters-0")
+
+    def _size(self) -> None:
+        shared = F.coalesce(F.sum((F.col("first") < F.col("last")).cast("long")), F.lit(0))
+        self.total, self.n_shared = self.refs.agg(F.coalesce(F.sum("n"), F.lit(0)), shared).first()
+
+    def _rebuild(self, name: str) -> None:
+        """All filters anew, each with room for twice its keys."""
+        self.shards, self.built = max(64, -(-self.total // self.shard_rows)), self.n_shared
+        self.filters = self.ws.table(self._build(self._shared(self.refs)), name)
 
     @staticmethod
     def _shared(refs: DataFrame) -> DataFrame:
@@ -224,8 +232,12 @@ class LineIndex:
         return sure.unionByName(rest).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     def insert(self, docs: DataFrame) -> None:
-        """Adds documents with new ids."""
-        self._merge(postings(docs, self.min_chars), None)
+        """Adds documents with new ids; raises ValueError if lines of one of the ids are known already."""
+        added = self.ws.table(postings(docs, self.min_chars), f"added-{self.version}")
+        if self.postings.join(added.select("doc_id").distinct(), "doc_id", "left_semi").limit(1).count():
+            raise ValueError("documents with these ids were inserted before; delete them first")
+        self._merge(added, None)
+        self.ws.drop(f"added-{self.version - 1}")
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes out the documents of the ids in the first column."""
@@ -253,9 +265,13 @@ class LineIndex:
             return pa.table({"shard": shard, "n_keys": pa.array([n], pa.int64()), "blob": pa.array([f.dump()], pa.binary())})
 
         a = moved.select(self._shard(), "key", "add").groupBy("shard").cogroup(self.filters.groupBy("shard"))
-        self.filters = self.ws.table(a.applyInArrow(update, "shard int, n_keys long, blob binary"), f"filters-{v}")
+        updated = a.applyInArrow(update, "shard int, n_keys long, blob binary")
         self.postings, self.refs, self.version = posts, refs, v
-        self.total = self.refs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self._size()
+        if self.n_shared > 2 * max(self.built, self.shards):
+            self._rebuild(f"filters-{v}")
+        else:
+            self.filters = self.ws.table(updated, f"filters-{v}")
         for name in ("postings", "refs", "filters"):
             self.ws.drop(f"{name}-{old}")
 
