@@ -159,3 +159,8 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", si
 
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size, that of the files for a scan; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_limits, count_rows, lookup_join
+from .common import Workspace, arrow_limits, count_rows, lookup_join, stored_bytes
 
 _END = "\r\n\r\n"
 #: Index rows that one merge task should hold; it sets the number of ranges.
 MERGE_ROWS = 200_000
+#: Bytes of records, uncompressed, that an archive of records of average size should hold.
+ARCHIVE_BYTES = 256 << 20
 
 
 def url_key(url: Column) -> Column:
@@ -242,5 +244,6 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int
     """Writes the archives (to path, or a folder in shared storage), reads them back and returns the merged capture index."""
     ws = Workspace(pages.sparkSession, "warc")
     path = path or ws.path("archives")
-    write_archives(captures(pages, min_bytes), path)
+    most = 4 * stored_bytes(pages.select("html")) // max(1, count_rows(pages)) + 600  # pages are stored at a fourth of their size at least
+    write_archives(captures(pages, min_bytes), path, records_per_file=max(1, min(20_000, ARCHIVE_BYTES // most)))
     return merge_index(ws.table(read_archives(pages.sparkSession, path), "runs"))
