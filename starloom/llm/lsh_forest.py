@@ -233,7 +233,11 @@ def _verify(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, target: float = 0.999) -> DataFrame:
-    """(doc_id, class_id, rep_id, n_links, n_shingles), one row for each row of docs."""
+    """(doc_id, class_id, rep_id, n_links, n_shingles, group_key, mark), one row for each row of docs.
+
+    group_key tells groups apart that have one class_id (where one doc_id stands on several texts) and is null for texts that have
+    no links by rule; mark is a hash of the text.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
     ws = Workspace(spark, "lsh-forest")
@@ -302,9 +306,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tar
     paired = paired.unionByName(paired.select(F.col("group").alias("key"), "group")).distinct()
     paired = ws.table(paired.join(classes.select("key", "rep_id"), "key"), "paired")
     lows = paired.groupBy("group").agg(F.min("rep_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    paired = lookup_join(paired.select("key", "group"), lows.select("group", "low"), "group", "inner", sizes=lows.select("group", "n")).select("key", "low")
+    paired = lookup_join(paired.select("key", "group"), lows.select("group", "low"), "group", "inner", sizes=lows.select("group", "n")).select("key", "low", "group")
     table = classes.join(counts.withColumnRenamed("doc_id", "key"), "key", "left").join(paired, "key", "left")
-    table = table.select("digest", F.coalesce("low", "rep_id").alias("class_id"), "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = lookup_join(signed.select("doc_id", "digest", "size"), table, "digest", "left", sizes=classes.select("digest", F.col("copies").alias("n")))
+    table = table.select("digest", F.coalesce("low", "rep_id").alias("class_id"), "rep_id", F.coalesce("group", "key").alias("group_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = lookup_join(signed.select("doc_id", "digest", "size", "mark"), table, "digest", "left", sizes=classes.select("digest", F.col("copies").alias("n")))
     null = lambda c: F.when(c != F.lit(_NULL_ID), c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), null(F.coalesce("class_id", "doc_id")).alias("class_id"), null(F.coalesce("rep_id", "doc_id")).alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("size").cast("long").alias("n_shingles"))
+    return out.select(null(F.col("doc_id")).alias("doc_id"), null(F.coalesce("class_id", "doc_id")).alias("class_id"), null(F.coalesce("rep_id", "doc_id")).alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("size").cast("long").alias("n_shingles"), "group_key", "mark")

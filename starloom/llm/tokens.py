@@ -49,12 +49,12 @@ class PreTokens:
         added = list(self.tok.get_added_tokens_decoder().values())
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
             raise ValueError("special strings that depend on their neighbours are not supported")
-        longest_first = sorted((t.content for t in added), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, longest_first))) if added else None
+        self.strings = sorted((t.content for t in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, self.strings)))
 
     def split(self, text: str) -> tuple[list[str], list[str], int]:
         """The pre-tokens of a text as they stand, those that the library split off (in its own spelling), and the number of special strings."""
-        parts = self.special.split(text) if self.special else [text]
+        parts = self.special.split(text) if any(s in text for s in self.strings) else [text]
         plain, mapped = [], []
         for part in parts:
             if part.isascii():

@@ -166,11 +166,25 @@ def test_line_dedup_edges_and_deletion(spark, edge, empty):
     rest = edge.where("doc_id IS NULL OR doc_id NOT IN (3, 5)")
     got = Counter((r["doc_id"], r["kept_text"], r["n_dropped"]) for r in rows(line_dedup.dedup_lines(rest, index)))
     assert got == brute([(r[0], r[1]) for r in EDGE if r[0] not in (3, 5)])
+    with pytest.raises(ValueError):
+        index.insert(edge.where("doc_id = 6"))
     index.insert(edge.where("doc_id IN (3, 5)"))
     got = Counter((r["doc_id"], r["kept_text"], r["n_dropped"]) for r in rows(line_dedup.dedup_lines(edge, index)))
     assert got == brute([(r[0], r[1]) for r in EDGE])
 
 
+def test_line_filters_grow_with_the_index(spark):
+    line = lambda k: f"a shared line number {k}"
+    table = lambda ids, k: spark.createDataFrame([(i, "\n".join(line(j) for j in range(k))) for i in ids], "doc_id long, text string")
+    index = line_dedup.LineIndex(table([1, 2], 5), shard_rows=100)
+    index.insert(table([3, 4], 4000))
+    assert index.built == index.n_shared == 4000 and index.shards > 64
+    stash = sum(len(line_dedup.CuckooFilter.load(r.blob).stash) for r in index.filters.collect())
+    assert stash == 0
+    lost = {r.doc_id: len(r["keys"]) for r in index.losing().collect()}
+    assert lost == {2: 5, 3: 5, 4: 4000}
+
+
 def test_cuckoo_filter():
     h = kernels.mix(np.arange(1, 20_001, dtype=np.uint64))
     f = line_dedup.CuckooFilter(10_000)
@@ -411,6 +425,33 @@ def test_mixing(spark, docs, edge, empty):
     assert rows(mixing.mix_sources(empty)) == []
 
 
+def test_mixing_meets_all_margins(spark, docs):
+    out = rows(mixing.mix_sources(docs, fraction=0.4))
+    values = lambda r: {"source": r["source"], "lang": r["lang"], "topic": str(r["__topic"])}
+    total = sum(r["__tokens"] for r in out)
+    for m in mixing.MARGINS:
+        have, got = Counter(), Counter()
+        for r in out:
+            have[values(r)[m]] += r["__tokens"]
+            got[values(r)[m]] += r["__tokens"] * r["__probability"]
+        want = mixing.tempered({k if k is not None else mixing._NULL: float(v) for k, v in have.items()}, 0.5, 0.4 * total)
+        for k, x in want.items():
+            assert got[None if k == mixing._NULL else k] == pytest.approx(x, rel=1e-6), (m, k)
+    slim = rows(mixing.mix_sources(docs, fraction=0.4, keep=["doc_id"]))
+    assert set(slim[0]) == {"doc_id", *mixing._RESULTS}
+    assert {r["doc_id"]: (r["__probability"], r["__sampled"]) for r in slim} == {r["doc_id"]: (r["__probability"], r["__sampled"]) for r in out}
+    share = sum(r["__tokens"] for r in out if r["__sampled"]) / total
+    assert 0.3 < share < 0.5
+
+
+def test_topic_is_the_most_frequent_long_word(spark):
+    texts = ["apple apple banana", "banana apple banana short s s s s", "tiny s", None, ""]
+    out = {r["doc_id"]: r for r in rows(mixing.with_topics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1000))}
+    word = lambda w: int(kernels.words([w])[0][0] % np.uint64(1000))
+    assert [out[i]["__topic"] for i in range(5)] == [word("apple"), word("banana"), -1, -1, -1]
+    assert [out[i]["__tokens"] for i in range(5)] == [3, 8, 2, 0, 0]
+
+
 def test_rake_meets_margins():
     rng = np.random.default_rng(1)
     t = rng.integers(1, 100, 200).astype(float)
