@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm import decontam, lang_ppm, line_dedup, lsh_forest, mixing
-from starloom.llm.common import Workspace
+from starloom.llm.common import Workspace, fresh
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,23 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group."""
-    groups = Workspace(spark, "stage-groups").table(lsh_forest.near_duplicates(docs).select("doc_id", "class_id"), "groups")
-    kept = groups.where((F.col("doc_id") == F.col("class_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__kept")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """Keeps one document of each group: that with the smallest doc_id, of several rows of this id the one with the smallest hash of its text."""
+    ws = Workspace(spark, "stage-groups")
+    groups = ws.table(lsh_forest.near_duplicates(docs).select("doc_id", "class_id", "group_key", "mark"), "groups")
+    texts = groups.groupBy("group_key", "doc_id", "class_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    least = texts.where(F.col("group_key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    least = least.groupBy("group_key").agg(F.min(F.struct("mark", "n")).alias("least"), F.first("doc_id").alias("doc_id")).select("doc_id", "least.mark", "least.n")
+    kept = ws.table(least.unionByName(texts.where(F.col("group_key").isNull()).select("doc_id", "mark", "n")), "kept")
+    id_, mark = fresh(docs.columns, "kept_id"), fresh(docs.columns, "kept_mark")
+
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark))
+        return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(mark)), "left_semi")
+
+    once, repeated = kept.where("n = 1"), kept.where("n > 1")
+    if not repeated.limit(1).count():
+        return of(once)
+    return of(once).unionByName(of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
