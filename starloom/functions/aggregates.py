@@ -18,9 +18,25 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(a: Column) -> Column:
+    """array<struct<n, v>> of a list's values by value: the runs of the sorted list, so time hardly grows with the number of values."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: F.when(i == 0, True).otherwise(F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda b: F.concat(F.slice(b, 2, F.size(s)), F.array(F.size(s)))
+        return let(starts, lambda b: F.zip_with(b, ends(b), lambda i, j: F.struct((j - i).alias("n"), F.get(s, i).alias("v"))))
+
+    return let(F.sort_array(a), counted)
+
+
 def frequencies(a: Column) -> Column:
     """array<struct<n, v>> of a list's values, most frequent first, equal ones by value."""
-    counted = F.transform(F.array_distinct(a), lambda d: F.struct(F.size(F.filter(a, lambda x: x == d)).alias("n"), d.alias("v")))
+    counted = _runs(a)
     return F.array_sort(counted, lambda p, q: F.when(p["n"] > q["n"], -1).when(p["n"] < q["n"], 1).when(p["v"] < q["v"], -1).when(p["v"] > q["v"], 1).otherwise(0))
 
 
@@ -48,8 +64,7 @@ def over_list(agg: str, a: Column, current: Column | None = None) -> Column:
     if agg == "ratio":
         return F.when(current.isNotNull() & (n > 0), F.size(F.filter(a, lambda x: x == current)) / n)
     if agg == "top1_ratio":
-        best = F.array_max(F.transform(F.array_distinct(a), lambda d: F.size(F.filter(a, lambda x: x == d))))
-        return F.when(n > 0, best / n)
+        return let(a, lambda b: F.when(F.size(b) > 0, F.array_max(F.transform(_runs(b), lambda e: e["n"])) / F.size(b)))
     if agg == "std":
         mean = _total(a) / n
         return F.when(n > 1, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1)))
@@ -66,6 +81,12 @@ def over_frame(agg: str, c: Column, w: WindowSpec) -> Column:
     return over_list(agg, F.collect_list(c).over(w), c)
 
 
+def equal_values(agg: str, c: Column, like: WindowSpec, every: WindowSpec) -> Column:
+    """count or ratio of the rows with the current row's value. like: the frame among the rows of that value; every: among all rows."""
+    n = F.count(c).over(like)
+    return F.when(c.isNotNull(), n if agg == "count" else F.try_divide(n, F.count(c).over(every)))
+
+
 def window_result(agg: str, value: Column, mode: str) -> Column:
     return F.coalesce(value, F.lit(0.0)) if agg == "sum" and mode == "runtime" else value
 

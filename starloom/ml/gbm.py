@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
 from .linear import quantile_cuts
 
 
@@ -96,7 +97,7 @@ class GBM:
         self = cls(config, cuts, categories, [], bias)
         features = [*config.numeric, *config.categorical]
         bins = [f"__b{i}" for i in range(len(features))]
-        scratch = scratch or f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp').rstrip('/')}/gbm-{uuid.uuid4().hex[:12]}"
+        scratch = scratch or f"{shared_folder(spark)}/gbm-{uuid.uuid4().hex[:12]}"
         rows = self.binned(df).where(F.col(config.label).isNotNull()).select(*bins, y.alias("__y"), F.xxhash64(*df.columns).alias("__row"))
         rows = cls._kept(rows.withColumn("__z", F.lit(bias)), f"{scratch}/0")
         rng = np.random.default_rng(config.seed)

@@ -59,7 +59,7 @@ def window_features(df: DataFrame, keys: list[str], time: str, features: list[Wi
 
     A range frame without a row cap holds all rows of equal time. A capped one holds the latest max_rows rows up to the
     current row in (time, order) that are in the range; with a lower bound over zero, the latest of the range. Rows with a null key
-    form a partition of their own; rows with a null time come first and see only each other in range frames.
+    form a partition of their own; rows with a null time come last and see only each other in range frames.
     """
     if not features:
         return df
@@ -72,12 +72,25 @@ def window_features(df: DataFrame, keys: list[str], time: str, features: list[Wi
         df = df.withColumn("__slice", F.explode(time_slices(F.col(us), max(f.frame.high for f in features), True)))
         df = df.withColumn("__history", F.col("__slice.history")).withColumn("__slice", F.col("__slice.number"))
         keys = [*keys, "__slice"]
-    by_time = Window.partitionBy(*keys).orderBy(us)
-    total = Window.partitionBy(*keys).orderBy(us, *order)
+    by_time = Window.partitionBy(*keys).orderBy(F.col(us).asc_nulls_last())
+    total = Window.partitionBy(*keys).orderBy(F.col(us).asc_nulls_last(), *order)
+    place = "__place"
+    if any(f.frame.kind == "rows" and f.agg in ("count", "ratio") for f in features):
+        df = df.withColumn(place, F.row_number().over(total))
     out = []
     for f in features:
         c = F.col(f.value)
-        out.append(A.window_result(f.agg, _one(f, c, by_time, total, us, order, mode), mode).alias(f.name))
+        if f.agg in ("count", "ratio") and not f.frame.capped:  # among the rows of one value the frame is a range of times or places
+            like = Window.partitionBy(*keys, f.value)
+            if f.frame.kind == "rows":
+                a, b = _rows(f.frame, mode)
+                result = A.equal_values(f.agg, c, like.orderBy(place).rangeBetween(a, b), total.rowsBetween(a, b))
+            else:
+                a, b = _range(f.frame, mode)
+                result = A.equal_values(f.agg, c, like.orderBy(F.col(us).asc_nulls_last()).rangeBetween(a, b), by_time.rangeBetween(a, b))
+        else:
+            result = _one(f, c, by_time, total, us, order, mode)
+        out.append(A.window_result(f.agg, result, mode).alias(f.name))
     if not sliced:
         return df.select(*names, *out)
     return df.select(*names, "__history", *out).where(~F.col("__history")).drop("__history")

@@ -489,11 +489,9 @@ def time_gaps(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/starloom-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{sources.shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _separated(kind: str, sep: str):

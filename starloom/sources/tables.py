@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +54,23 @@ def encode(df: DataFrame, schema: Schema, table: str) -> DataFrame:
     return df.select(*out)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset and Spark runs in one process, a temporary one that goes at exit."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{_local_folder()}"
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="starloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def cache(df: DataFrame, uri: str = "mem://") -> DataFrame:
     """Keeps df for reuse: mem:// in memory (and on disk beyond it), file://path as Parquet."""
     if uri.startswith("mem:"):
