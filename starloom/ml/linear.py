@@ -38,10 +38,13 @@ def bin_number(x: Column, cuts: list[float]) -> Column:
     """The number of cuts under x, as text; null for null."""
     if not cuts:
         return F.when(x.isNotNull(), F.lit("0"))
-    return F.when(x.isNotNull(), F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + F.when(c < x, 1).otherwise(0)).cast("string"))
+    terms = [(x > c).cast("int") for c in cuts]
+    while len(terms) > 1:  # a balanced sum, compiled with the rest of the row's code
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0].cast("string")
 
 
-def quantile_cuts(df: DataFrame, columns: list[str], buckets: tuple[int, ...], accuracy: int = 10_000) -> dict[str, list[float]]:
+def quantile_cuts(df: DataFrame, columns: list[str], buckets: tuple[int, ...], accuracy: int = 100_000) -> dict[str, list[float]]:
     """Inner cut points of each column and bucket number, all from one pass."""
     wanted = [(c, b) for c in columns for b in buckets]
     if not wanted:

@@ -48,7 +48,7 @@ def validation_split(df: DataFrame, time: str, test_ratio: float = 0.2, key: str
     Where the cut is the latest time a share of 1 - test_ratio of all rows, by a hash of key (of the whole row without one), is
     trained on. Rows without time are in valid.
     """
-    found = _share_up_to(df, time, 1 - test_ratio, 10_000)
+    found = _share_up_to(df, time, 1 - test_ratio, 100_000)
     if found is None:
         return df.limit(0), df
     return old_new_split(df, time, *found, key)

@@ -530,13 +530,13 @@ def table_filter(spark, sf_dir):
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases and clicks with a label that depends on value and user."""
-    e = read(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')")
+    """All events with a label that depends on value and user."""
+    e = read(spark, sf_dir, "events")
     y = ((F.col("value") + F.pmod("user_id", F.lit(7)) * 3) > 25).cast("int")
     return e.select("event_id", "ts", "user_id", "event_type", "value", F.pmod("user_id", F.lit(7)).alias("segment"), y.alias("label"))
 
 
-_LABELLED = "(SELECT *, user_id % 7 AS segment, ((value + (user_id % 7) * 3) > 25)::INT AS label FROM events WHERE event_type IN ('purchase', 'click'))"
+_LABELLED = "(SELECT *, user_id % 7 AS segment, ((value + (user_id % 7) * 3) > 25)::INT AS label FROM events)"
 
 
 @query("ml_auc", f"""
@@ -550,39 +550,68 @@ def ml_auc(spark, sf_dir):
 
 
 @query("ml_histogram", f"""SELECT feature, bin, round(sum(0.5 - label)::DOUBLE, 4) AS g, round((count(*) * 0.25)::DOUBLE, 4) AS h, count(*) AS n FROM
-(SELECT 'value' AS feature, floor(value / 10)::BIGINT AS bin, label FROM {_LABELLED} UNION ALL SELECT 'segment', segment, label FROM {_LABELLED}) GROUP BY 1, 2""")
+(SELECT 'value' AS feature, least(greatest(ceil(value / 10) - 1, 0), 50)::BIGINT AS bin, label FROM {_LABELLED} UNION ALL SELECT 'segment', segment, label FROM {_LABELLED}) GROUP BY 1, 2""")
 def ml_histogram(spark, sf_dir):
-    d = _labelled(spark, sf_dir)
-    long = d.select("label", F.explode(F.array(F.struct(F.lit("value").alias("feature"), F.floor(F.col("value") / 10).alias("bin")), F.struct(F.lit("segment").alias("feature"), F.col("segment").alias("bin")))).alias("e"))
-    return long.groupBy("e.feature", "e.bin").agg(F.round(F.sum(F.lit(0.5) - F.col("label")).cast("double"), 4).alias("g"), F.round((F.count(F.lit(1)) * 0.25).cast("double"), 4).alias("h"), F.count(F.lit(1)).alias("n"))
+    """The first level's sums of the tree trainer, over bins with the cuts 10, 20, ... of value."""
+    from .ml.gbm import GBM, Node, TreeConfig
+
+    cuts = {"value": [10.0 * k for k in range(1, 51)], "segment": [float(k) for k in range(6)]}
+    model = GBM(TreeConfig("label", ["value", "segment"]), cuts, {})
+    data = model.binned(_labelled(spark, sf_dir)).select("__b0", "__b1", (F.lit(0.5) - F.col("label")).alias("__g"), F.lit(0.25).alias("__h"))
+    hist = model.histogram(data, [Node(0)], [0], [0, 1])[0]
+    rows = [(name, b, round(float(g), 4), round(float(h), 4), int(n)) for f, name in enumerate(("value", "segment")) for b, (g, h, n) in enumerate(hist[f]) if n]
+    return spark.createDataFrame(rows, "feature string, bin long, g double, h double, n long")
 
 
 @query("ml_split_gain", f"""
-WITH b AS (SELECT floor(value / 10)::BIGINT AS bin, sum(0.5 - label)::DOUBLE AS g, (count(*) * 0.25)::DOUBLE AS h FROM {_LABELLED} GROUP BY 1),
-c AS (SELECT bin, sum(g) OVER (ORDER BY bin) AS gl, sum(h) OVER (ORDER BY bin) AS hl, sum(g) OVER () AS g, sum(h) OVER () AS h FROM b)
-SELECT bin, round(gl * gl / (hl + 0.000001) + (g - gl) * (g - gl) / (h - hl + 0.000001) - g * g / (h + 0.000001), 4) AS gain FROM c WHERE hl < h""")
+WITH b AS (SELECT CASE WHEN event_id % 5 = 0 THEN -1 ELSE floor(value / 10)::BIGINT END AS bin, sum(0.5 - label)::DOUBLE AS g, (count(*) * 0.25)::DOUBLE AS h FROM {_LABELLED} GROUP BY 1),
+m AS (SELECT coalesce(sum(g) FILTER (WHERE bin = -1), 0) AS mg, coalesce(sum(h) FILTER (WHERE bin = -1), 0) AS mh, sum(g) AS g, sum(h) AS h FROM b),
+c AS (SELECT bin, sum(b.g) OVER (ORDER BY bin) AS gl, sum(b.h) OVER (ORDER BY bin) AS hl FROM b WHERE bin >= 0),
+s AS (SELECT bin, false AS missing_right, gl + mg AS gl, hl + mh AS hl, g, h FROM c, m UNION ALL SELECT bin, true, gl, hl, g, h FROM c, m),
+k AS (SELECT *, gl * gl / (hl + 0.000001) + (g - gl) * (g - gl) / (h - hl + 0.000001) - g * g / (h + 0.000001) AS gain FROM s WHERE hl > 0 AND hl < h)
+SELECT bin, missing_right, round(gain, 4) AS gain, round(gl, 4) AS g_left, round(hl, 4) AS h_left FROM k ORDER BY k.gain DESC, missing_right, bin LIMIT 1""")
 def ml_split_gain(spark, sf_dir):
-    """The gain of each split of value, by the trainer's own split finder fed one histogram."""
-    import numpy as np
-
-    from .ml.gbm import GBM, TreeConfig
+    """The best split of value by the trainer's own split finder on the whole histogram, a fifth of the values missing."""
+    from .ml.gbm import GBM, Node, TreeConfig
 
     d = _labelled(spark, sf_dir)
-    rows = d.groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.sum(0.5 - F.col("label")).alias("g"), (F.count(F.lit(1)) * 0.25).alias("h"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
-    model, out = GBM(TreeConfig("label", ["value"]), {}, {}), []
-    sums = np.array([(r.g, r.h, r.n) for r in rows], float)
-    for k in range(len(rows) - 1):  # two bins each, so that only one split is possible
-        two = np.array([[sums[: k + 1].sum(axis=0), sums[k + 1 :].sum(axis=0), np.zeros(3)]])
-        out.append((rows[k].bin, round(float(model.best_split(two, 1, [0])[0]), 4)))
-    return spark.createDataFrame(out, "bin long, gain double")
-
-
-@query("ml_gbm")
+    most = int(d.agg(F.max("value")).first()[0] // 10) + 1
+    model = GBM(TreeConfig("label", ["value"]), {"value": [float(k) for k in range(most)]}, {})
+    bin_ = F.when(F.col("event_id") % 5 == 0, -1).otherwise(F.floor(F.col("value") / 10)).cast("int")
+    data = d.select(bin_.alias("__b0"), (F.lit(0.5) - F.col("label")).alias("__g"), F.lit(0.25).alias("__h"))
+    gain, _, b, missing_right, left, _ = model.best_split(model.histogram(data, [Node(0)], [0], [0])[0], 1, [0])
+    return spark.createDataFrame([(int(b), bool(missing_right), round(float(gain), 4), round(float(left[0]), 4), round(float(left[1]), 4))], "bin long, missing_right boolean, gain double, g_left double, h_left double")
+
+
+def _boosted_sql(numeric: dict[str, int], categorical: list[str], trees: int, depth: int, rate: float = 0.3, penalty: float = 1e-6) -> str:
+    """Boosted trees in plain SQL: each level sums (node, feature, bin), takes each node's best split and sends its rows on. numeric: bins of each."""
+    names = [*numeric, *categorical]
+    cuts = [f"c_{n} AS (SELECT DISTINCT unnest(quantile_disc({n}::DOUBLE, [{', '.join(f'{i}/{k}' for i in range(1, k))}])) AS cut FROM d)" for n, k in numeric.items()]
+    bins = [f"(SELECT count(*) FROM c_{n} WHERE cut < d.{n}) AS b_{n}" for n in numeric] + [f"{n} AS b_{n}" for n in categorical]
+    ctes = [f"d AS (SELECT * FROM {_LABELLED})", *cuts, f"r0 AS MATERIALIZED (SELECT event_id, label::DOUBLE AS y, ln(avg(label) OVER () / (1 - avg(label) OVER ())) AS z, {', '.join(bins)} FROM d)"]
+    for t in range(trees):
+        ctes.append(f"p{t}_0 AS MATERIALIZED (SELECT *, 0 AS node, 1 / (1 + exp(-z)) - y AS g, (1 / (1 + exp(-z))) * (1 - 1 / (1 + exp(-z))) AS h FROM r{t})")
+        for level in range(depth):
+            now, out = f"p{t}_{level}", f"p{t}_{level + 1}"
+            long = " UNION ALL ".join(f"SELECT node, {i} AS f, {f'b_{n}::BIGINT' if n in numeric else 'NULL'} AS bin, {'NULL' if n in numeric else f'b_{n}'} AS name, g, h FROM {now}" for i, n in enumerate(names))
+            ctes.append(f"s_{now} AS (SELECT node, f, bin, name, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({long}) GROUP BY ALL)")
+            ctes.append(f"t_{now} AS (SELECT node, sum(g) AS tg, sum(h) AS th, count(*) AS tn FROM {now} GROUP BY node)")
+            left = lambda x: f"CASE WHEN bin IS NULL THEN t{x} - {x} ELSE sum({x}) OVER (PARTITION BY node, f ORDER BY bin) END AS l{x}"
+            ctes.append(f"l_{now} AS (SELECT *, {left('g')}, {left('h')}, {left('n')} FROM s_{now} JOIN t_{now} USING (node))")
+            ctes.append(f"k_{now} AS (SELECT *, lg * lg / (lh + {penalty}) + (tg - lg) * (tg - lg) / (th - lh + {penalty}) - tg * tg / (th + {penalty}) AS gain FROM l_{now} WHERE ln > 0 AND ln < tn)")
+            ctes.append(f"w_{now} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) AS place FROM k_{now}) WHERE place = 1 AND gain > 0)")
+            goes = " ".join(f"WHEN w.f = {i} THEN (a.b_{n} {'> w.bin' if n in numeric else '= w.name'})::INT" for i, n in enumerate(names))
+            ctes.append(f"{out} AS MATERIALIZED (SELECT a.* EXCLUDE (node), CASE WHEN w.f IS NULL THEN a.node ELSE 2 * a.node + 1 + CASE {goes} END END AS node FROM {now} a LEFT JOIN w_{now} w ON a.node = w.node)")
+        ctes.append(f"r{t + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node, g, h, z), z - {rate} * sum(g) OVER (PARTITION BY node) / (sum(h) OVER (PARTITION BY node) + {penalty}) AS z FROM p{t}_{depth} a)")
+    return f"WITH {', '.join(ctes)} SELECT event_id, round(1 / (1 + exp(-z)), 6) AS prediction FROM r{trees}"
+
+
+@query("ml_gbm", _boosted_sql({"value": 20}, ["segment", "event_type"], 3, 3))
 def ml_gbm(spark, sf_dir):
     from .ml.gbm import GBM, TreeConfig
 
     d = _labelled(spark, sf_dir)
-    model = GBM.fit(d, TreeConfig("label", ["value"], ["segment", "event_type"], trees=3, max_depth=3), _scratch(spark, "gbm"))
+    model = GBM.fit(d, TreeConfig("label", ["value"], ["segment", "event_type"], trees=3, max_depth=3, max_bins=20), _scratch(spark, "gbm"))
     return GBM.loads(model.dumps()).predict(d).select("event_id", F.round("prediction", 6).alias("prediction"))
 
 
@@ -594,12 +623,40 @@ def ml_linear(spark, sf_dir):
     return LinearModel.fit(d, LinearConfig("label", ["value"], ["segment"], max_iter=5)).predict(d).select("event_id", F.round("prediction", 4).alias("prediction"))
 
 
-@query("ml_slotwise")
+def _slotwise_sql(steps: int = 4, buckets: int = 100) -> str:
+    """One Newton step a query over the rows of each bin, then the rank statistic of the held-out rows on a grid of 10000."""
+    cuts = f"c AS (SELECT DISTINCT unnest(quantile_disc(value, [{', '.join(f'{i}/{buckets}' for i in range(1, buckets))}])) AS cut FROM d WHERE old)"
+    ctes = [
+        f"t AS (SELECT quantile_disc(ts, 0.8) AS cut FROM events), d AS (SELECT l.*, ts <= t.cut AS old, CASE WHEN event_type = 'view' THEN 0.25 ELSE -0.5 END AS base FROM {_LABELLED} l, t)", cuts,
+        """x AS (SELECT old, label, base, unnest(['value', 'segment', 'event_type']) AS feature, unnest([(SELECT count(*) FROM c WHERE c.cut < d.value)::VARCHAR, segment::VARCHAR, event_type]) AS bin FROM d)""",
+        "w0 AS (SELECT DISTINCT feature, bin, 0.0::DOUBLE AS w FROM x WHERE old)",
+    ]
+    for k in range(steps):
+        p = "1 / (1 + exp(-(base + w)))"
+        ctes.append(f"w{k + 1} AS (SELECT feature, bin, w + greatest(least((sum(label - {p}) - w) / (sum(({p}) * (1 - {p})) + 1), 4), -4) AS w FROM x JOIN w{k} USING (feature, bin) WHERE old GROUP BY feature, bin, w)")
+    ctes.append(f"h AS (SELECT feature, round(10000 / (1 + exp(-(base + coalesce(w, 0)))))::BIGINT AS s, sum(label) AS p, sum(1 - label) AS n FROM x LEFT JOIN w{steps} USING (feature, bin) WHERE NOT old GROUP BY 1, 2)")
+    return f"WITH {', '.join(ctes)}, b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY feature ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h) SELECT feature, round(sum(p * (before + n / 2)) / (sum(p) * sum(n)), 6) AS score FROM b GROUP BY feature"
+
+
+@query("ml_slotwise", _slotwise_sql())
 def ml_slotwise(spark, sf_dir):
     from .ml.scorer import slotwise_scores
 
-    train, valid = prep.validation_split(_labelled(spark, sf_dir).withColumn("base", F.lit(0.0)), "ts", 0.2)
-    return slotwise_scores(train, valid, ["value"], ["segment", "event_type"], "base", "label")
+    base = F.when(F.col("event_type") == "view", 0.25).otherwise(-0.5)
+    train, valid = prep.validation_split(_labelled(spark, sf_dir).withColumn("base", base), "ts", 0.2)
+    return slotwise_scores(train, valid, ["value"], ["segment", "event_type"], "base", "label").select("feature", F.round("score", 6).alias("score"))
+
+
+@query("ml_slotwise_regression", f"""
+WITH t AS (SELECT quantile_disc(ts, 0.8) AS cut FROM events), d AS (SELECT l.*, ts <= t.cut AS old FROM {_LABELLED} l, t),
+x AS (SELECT old, value AS y, unnest(['segment', 'event_type']) AS feature, unnest([segment::VARCHAR, event_type]) AS bin FROM d),
+w AS (SELECT feature, bin, sum(y - 20) / (count(*) + 1) AS w FROM x WHERE old GROUP BY 1, 2)
+SELECT feature, round(-avg((20 + coalesce(w, 0) - y) ** 2), 6) AS score FROM x LEFT JOIN w USING (feature, bin) WHERE NOT old GROUP BY 1""")
+def ml_slotwise_regression(spark, sf_dir):
+    from .ml.scorer import slotwise_scores
+
+    train, valid = prep.validation_split(_labelled(spark, sf_dir).withColumn("base", F.lit(20.0)), "ts", 0.2)
+    return slotwise_scores(train, valid, [], ["segment", "event_type"], "base", "value", "regression").select("feature", F.round("score", 6).alias("score"))
 
 
 @query("ml_metrics", f"""
@@ -657,13 +714,14 @@ def ml_search(spark, sf_dir):
     return spark.createDataFrame([(i, c.op, round(c.score, 4)) for i, c in enumerate(found)], "place int, op string, score double")
 
 
-@query("ml_predict")
+@query("ml_predict", _boosted_sql({"value": 10, "segment": 10}, [], 2, 2))
 def ml_predict(spark, sf_dir):
-    """A saved tree model applied to a table and written as text."""
+    """A saved tree model applied to a table, written as text and read again."""
     from .ml.gbm import GBM, TreeConfig
     from .ml.predict import batch_predict
 
     d, path = _labelled(spark, sf_dir), _scratch(spark, "model")
-    GBM.fit(d, TreeConfig("label", ["value", "segment"], trees=2, max_depth=2), f"{path}/scratch").save(spark, f"{path}/model")
+    GBM.fit(d, TreeConfig("label", ["value", "segment"], trees=2, max_depth=2, max_bins=10), f"{path}/scratch").save(spark, f"{path}/model")
     batch_predict(spark, f"{path}/model", "gbm", d, f"{path}/out", ["event_id"])
-    return spark.read.text(f"{path}/out")
+    parts = F.split("value", "\t")
+    return spark.read.text(f"{path}/out").select(parts[0].cast("long").alias("event_id"), F.round(parts[1].cast("double"), 6).alias("prediction"))
