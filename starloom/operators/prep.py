@@ -72,8 +72,11 @@ def recent_rows(df: DataFrame, time: str, most: int, key: str | None = None) ->
     n = df.count()
     if n <= most:
         return df
-    found = _share_up_to(df, time, 1 - most / n, 100_000)
-    return df if found is None else old_new_split(df, time, *found, key)[1]
+    found = _share_up_to(df, time, (n - most - 0.5) / n, 100_000)  # the rank of the last row to go, whatever the rounding
+    if found is None:
+        return df
+    cut, ratio = found
+    return old_new_split(df, time, cut, ratio if ratio == 1.0 else 1 - most / n, key)[1]
 
 
 def shuffled(df: DataFrame, partitions: int, key: str, seed: int = 0) -> DataFrame:
@@ -122,10 +125,10 @@ def quantiles(df: DataFrame, column: str, n: int, accuracy: int = 10_000) -> lis
     return df.select(F.percentile_approx(column, [i / n for i in range(1, n)], accuracy)).first()[0] or []
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """(key, n): the values with more than share of the rows."""
+def hot_keys(df: DataFrame, key: str | tuple[str, ...], share: float) -> DataFrame:
+    """(key, n): the values (or, for several columns, their combinations) with more than share of the rows."""
     total = df.count()
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share * total)
+    return df.groupBy(*((key,) if isinstance(key, str) else key)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share * total)
 
 
 def time_gaps(df: DataFrame, time: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import scalars as S
 from ..operators.joins import LastFeature, MultiFeature, direct_join, union_windows
+from ..operators.prep import hot_keys
 from ..operators.windows import WindowFeature, window_features
 from .dsl import Call, Token, parse_program
 from .frames import parse_frame
@@ -87,12 +88,13 @@ def _is_numeric(call: Call, schema: Schema) -> bool:
 
 
 class Planner:
-    def __init__(self, schema: Schema, tables: dict[str, DataFrame], mode: str = "golden", order: tuple[str, ...] = (), sliced: bool = False):
+    def __init__(self, schema: Schema, tables: dict[str, DataFrame], mode: str = "golden", order: tuple[str, ...] = (), sliced: bool | str = False, hot_share: float = 0.01):
         """order: main columns that decide between main rows of equal time in row frames. sliced: deal keys by slices of time
-        too wherever all frames of a scope are bounded in time, for keys that hold a large share of the rows."""
+        too wherever all frames of a scope are bounded in time, for keys that hold a large share of the rows; "auto" counts the
+        rows of each key and does so where one has more than hot_share of them."""
         if mode not in ("golden", "runtime"):
             raise PlanError(f"unknown mode {mode}")
-        self.schema, self.tables, self.mode, self.order, self.sliced = schema, tables, mode, order, sliced
+        self.schema, self.tables, self.mode, self.order, self.sliced, self.hot_share = schema, tables, mode, order, sliced, hot_share
         self.names: dict[Call, str] = {}
         for name, df in tables.items():
             if name in schema.tables:
@@ -182,11 +184,13 @@ class Planner:
                 low = frame.low if frame.kind == "range" else 0
             groups.setdefault((r, low), []).append(feature)
         for (r, low), features in groups.items():
-            df = union_windows(df, self.tables[r.to_entity], list(zip(r.from_keys, r.to_keys)), (r.from_time, r.to_time), features, list(r.order), self.mode, low, self._slices(features))
+            df = union_windows(df, self.tables[r.to_entity], list(zip(r.from_keys, r.to_keys)), (r.from_time, r.to_time), features, list(r.order), self.mode, low, self._slices(features, r.to_entity, r.to_keys))
         return df
 
-    def _slices(self, features: list) -> bool:
-        return self.sliced and all(f.frame is not None and f.frame.kind == "range" for f in features)
+    def _slices(self, features: list, table: str, keys: tuple[str, ...]) -> bool:
+        if not self.sliced or not all(f.frame is not None and f.frame.kind == "range" for f in features):
+            return False
+        return self.sliced != "auto" or bool(hot_keys(self.tables[table], keys, self.hot_share).head(1))
 
     def _windows(self, df: DataFrame, calls: list[Call]) -> DataFrame:
         groups: dict[tuple, list[WindowFeature]] = {}
@@ -207,7 +211,7 @@ class Planner:
         if made:
             df = df.withColumns(made)
         for (key, time), features in groups.items():
-            df = window_features(df, [key], time, features, self.order, self.mode, self._slices(features))
+            df = window_features(df, [key], time, features, self.order, self.mode, self._slices(features, self.schema.target, (key,)))
         return df
 
     # scalars
@@ -276,7 +280,7 @@ class Planner:
         return "double"
 
 
-def compile_program(config: str | dict | Schema, program: str | list[Call], tables: dict[str, DataFrame], mode: str = "golden", strict: bool = False, names: list[str] | None = None, keep: list[str] | None = None, order: tuple[str, ...] = (), sliced: bool = False) -> DataFrame:
+def compile_program(config: str | dict | Schema, program: str | list[Call], tables: dict[str, DataFrame], mode: str = "golden", strict: bool = False, names: list[str] | None = None, keep: list[str] | None = None, order: tuple[str, ...] = (), sliced: bool | str = False) -> DataFrame:
     """One DataFrame for a feature program: the main table's index and a column for each line. strict: drop what the text generators drop; sliced: as for Planner."""
     from .schema import load_schema
 

@@ -346,11 +346,6 @@ _trade_scalar("binary_label", [("x", "binary_label(multi_direct(orders,customer.
 _trade_scalar("nested", [("x", "dayofweek(multi_direct(orders,lineitem.l_shipdate))"), ("y", "combine(orders.o_orderstatus,multi_direct(orders,customer.c_mktsegment))")], "(dayofweek(l_shipdate) + 1)::INT AS x, concat_ws(',', o_orderstatus, c_mktsegment) AS y", f"{_JOINED} {_LAST_LINE}")
 
 
-@query("discrete")
-def discrete(spark, sf_dir):
-    return trade_program(spark, sf_dir, "discrete(orders.o_orderpriority)\ndiscrete(split(orders.words,32))", ["one", "many"])
-
-
 COMPOSITE = [
     ("price", "original(orders.o_totalprice)"), ("segment", "multi_direct(orders,customer.c_mktsegment)"), ("last_quantity", "multi_last_value(orders,lineitem.l_quantity,2147483645:0)"),
     ("spent", "multi_sum(orders,lineitem.l_extendedprice,32d:2147483647:0s)"), ("n_lines", "multi_count(orders,lineitem.l_orderkey,32d:2147483647:0s)"), ("recent", "window_sum(orders.o_orderdate,orders.o_custkey,5:0,orders.o_totalprice)"),
@@ -418,12 +413,6 @@ def existence_filter(spark, sf_dir):
     return joins.existence_filter(read(spark, sf_dir, "lineitem"), main, [("o_orderkey", "l_orderkey"), ("o_custkey", "l_suppkey")]).select("l_orderkey", "l_linenumber")
 
 
-@query("temporal_split")
-def temporal_split(spark, sf_dir):
-    train, test = prep.temporal_split(read(spark, sf_dir, "orders"), "o_orderdate", 0.8, "o_orderkey")
-    return train.select("o_orderkey", F.lit("train").alias("side")).unionByName(test.select("o_orderkey", F.lit("test").alias("side")))
-
-
 _CUT = "(SELECT quantile_disc(o_orderdate, 0.8) AS cut, max(o_orderdate) AS top FROM orders)"
 
 
@@ -433,23 +422,12 @@ def validation_split(spark, sf_dir):
     return train.select("o_orderkey", F.lit("train").alias("side")).unionByName(valid.select("o_orderkey", F.lit("valid").alias("side")))
 
 
-@query("random_split")
-def random_split(spark, sf_dir):
-    left, right = prep.random_split(read(spark, sf_dir, "orders"), 0.7, "o_orderkey")
-    return left.select("o_orderkey", F.lit("left").alias("side")).unionByName(right.select("o_orderkey", F.lit("right").alias("side")))
-
-
 @query("old_new_split", "SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1996-01-01' THEN 'old' ELSE 'new' END AS side FROM orders")
 def old_new_split(spark, sf_dir):
     old, new = prep.old_new_split(read(spark, sf_dir, "orders"), "o_orderdate", 820454400_000_000, 1.0, "o_orderkey")
     return old.select("o_orderkey", F.lit("old").alias("side")).unionByName(new.select("o_orderkey", F.lit("new").alias("side")))
 
 
-@query("recent_rows")
-def recent_rows(spark, sf_dir):
-    return prep.recent_rows(read(spark, sf_dir, "orders"), "o_orderdate", 5000).select("o_orderkey")
-
-
 @query(
     "top_categories",
     """SELECT feature, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS rank FROM
@@ -725,3 +703,6 @@ def ml_predict(spark, sf_dir):
     batch_predict(spark, f"{path}/model", "gbm", d, f"{path}/out", ["event_id"])
     parts = F.split("value", "\t")
     return spark.read.text(f"{path}/out").select(parts[0].cast("long").alias("event_id"), F.round(parts[1].cast("double"), 6).alias("prediction"))
+
+
+from . import queries_more  # noqa: E402, F401  registers its queries
