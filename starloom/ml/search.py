@@ -1,6 +1,7 @@
 """Feature search: candidate programs for windows, joins and combinations, scored slot by slot against a base model.
 
-Stages: base model; joined side values; windows over the main table; one, two and three-way combinations; rebasing (the
+Stages: base model; scores of the single columns (a context: which are useless, which may be combined); joined side values, of
+which the best windows of each column are kept; windows over the main table; one, two and three-way combinations; rebasing (the
 remaining candidates are scored again on top of the selected ones). Each round is one program, so its candidates share scans.
 """
 
@@ -12,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.prep import hot_keys, time_gaps, validation_split
-from ..plans.frames import candidate_windows, from_config
+from ..functions.scalars import split
+from ..operators.prep import hot_keys, max_lengths, time_gaps, validation_split
+from ..plans.frames import candidate_windows, from_config, seconds
 from ..plans.planner import compile_program
 from ..plans.schema import Column, Schema
 from .linear import LinearConfig, LinearModel
@@ -27,8 +29,12 @@ class SearchConfig:
     test_ratio: float = 0.2
     windows: list[str] = field(default_factory=list)
     window_candidates: tuple[str, ...] = ("2h", "10h", "2d", "7d", "14d", "32d", "64d", "366d")
-    temporal_limit: int = 5000
-    combine_limit: int = 5000
+    default_windows: tuple[str, ...] = ()
+    delay: str = "0s"
+    #: None: by the table's rows, see limits().
+    temporal_limit: int | None = None
+    combine_limit: int | None = None
+    joined_per_column: int = 2
     batch: int = 300
     rebase_limit: int = 500
     rebase_rounds: int = 2
@@ -50,6 +56,61 @@ def limits(rows: int) -> int:
     return 5000 if rows < 2e6 else 1000 if rows < 1e7 else 500 if rows < 5e7 else 100
 
 
+@dataclass
+class Context:
+    """What the single columns are worth. scores: raw, with the score of a constant under None; lengths: most values a row has."""
+
+    scores: dict[str | None, float]
+    lengths: dict[str, int]
+
+    def __post_init__(self):
+        place = {v: i / len(self.scores) for i, v in enumerate(sorted(self.scores.values()))}
+        self.ranks = {k: place[v] for k, v in self.scores.items()}
+
+    def rank(self, name: str) -> float:
+        """From 0 to 1 (exclusive): the share of scores below the column's; equal scores share the highest of their ranks."""
+        return self.ranks.get(name, 0.0)
+
+    def useless(self, name: str) -> bool:
+        """Whether a column tells as much as a constant."""
+        return name not in self.scores or self.ranks[name] == self.ranks[None]
+
+    def combinable(self, a: str, b: str) -> bool:
+        """Whether the pairs of two columns' values are some, but not many."""
+        return 1 <= self.lengths.get(a, 1) * self.lengths.get(b, 1) <= 20
+
+
+def best_windows(candidates: list[Candidate], most: int) -> list[Candidate]:
+    """Of the candidates that differ in their window only, those with the best scores; equal scores count once."""
+    out, seen = [], {}
+    for c in sorted(candidates, key=lambda c: (-c.score, c.op)):
+        scores = seen.setdefault(c.op.rpartition(",")[0] if c.op.startswith("multi_") and c.op.count(",") > 1 else c.op, [])
+        if c.score not in scores and len(scores) < most:
+            scores.append(c.score)
+            out.append(c)
+    return out
+
+
+def several(schema: Schema) -> dict[str, str]:
+    """Multi-valued main columns, each with the program of its list of values."""
+    out, t = {}, schema.target
+    for c in schema.tables[t]:
+        if c.kind == "multi":
+            codes = ",".join(str(ord(x)) for x in c.separators)
+            out[c.name] = f"{'split' if len(c.separators) == 1 else 'split_key'}({t}.{c.name},{codes})"
+    return out
+
+
+def list_candidates(categories: list[str], lists: dict[str, str], target: str, context: Context, disabled: tuple[str, ...] = ()) -> list[Candidate]:
+    """Membership of a category in a list, and its combinations with the list's values where these are few."""
+    out = []
+    for a, (name, values) in itertools.product(categories, lists.items()):
+        out.append(Candidate(f"isin({target}.{a},{values})", True))
+        if context.combinable(a, name):
+            out.append(Candidate(f"combine({values},{target}.{a})", False))
+    return [c for c in out if c.op.partition("(")[0] not in disabled]
+
+
 def temporal_candidates(schema: Schema, keys: list[str], windows: list[str], disabled: tuple[str, ...] = ()) -> list[Candidate]:
     out = []
     for key, w in itertools.product(keys, windows):
@@ -143,23 +204,43 @@ class FeatureSearch:
         config = LinearConfig(self.config.label, [c.name for c in numbers] + [f"s{i}" for i, c in enumerate(selected) if c.numeric], [c.name for c in categories] + [f"s{i}" for i, c in enumerate(selected) if not c.numeric], "binary" if self.config.task == "binary" else "regression", lambda_2=1e-3, max_iter=8)
         return LinearModel.fit(train, config)
 
+    def context(self, base: LinearModel) -> Context:
+        numbers, categories = self._columns()
+        df = base.predict(self._frame([], None, [])).withColumn("__constant", F.lit("1"))
+        train, valid = validation_split(df, self.schema.pivot_time, self.config.test_ratio)
+        own = [c.name for c in numbers], [c.name for c in categories]
+        scores = {r.feature: r.score for r in slotwise_scores(train, valid, own[0], [*own[1], "__constant"], "logit", self.config.label, self.config.task).collect() if r.score is not None}
+        lists = {c.name: c.separators for c in self.schema.tables[self.schema.target] if c.kind == "multi"}
+        lengths = {}
+        if lists:
+            main = self.tables[self.schema.target]
+            lengths = {r.feature: r.n for r in max_lengths(main.select(*(split(F.col(n), x[0]).alias(n) for n, x in lists.items())), list(lists)).collect()}
+        return Context({None: scores.pop("__constant", 0.0), **scores}, lengths)
+
     def run(self) -> list[Candidate]:
         c, s = self.config, self.schema
         main = self.tables[s.target]
         base = self._base([])
-        joined = self._score(join_candidates(s), base, []) if s.relations else []
+        context = self.context(base)
+        most = limits(main.count())
+        joined = best_windows(self._score(join_candidates(s), base, []), c.joined_per_column) if s.relations else []
         windows = c.windows
         if not windows:
             gaps = time_gaps(main, s.pivot_time).first()
             if gaps.first is not None:
-                windows = candidate_windows((gaps.least_gap or 0) / 1e6, (gaps.last - gaps.first) / 1e6, candidates=c.window_candidates, binary=c.task == "binary")
-        temporal = self._score(temporal_candidates(s, partition_keys(main, s, c.hot_share), windows, c.disabled)[: c.temporal_limit], base, [])
+                windows = candidate_windows((gaps.least_gap or 0) / 1e6, (gaps.last - gaps.first) / 1e6, c.delay, c.window_candidates, binary=c.task == "binary")
+                windows = windows if seconds(c.delay) else [*c.default_windows, *windows]
+        keys = sorted((k for k in partition_keys(main, s, c.hot_share) if not context.useless(k)), key=lambda k: (-context.rank(k), k))
+        temporal = self._score(temporal_candidates(s, keys, windows, c.disabled)[: c.temporal_limit or most], base, [])
         numbers, categories = self._columns()
         t = s.target
         names = [f"{t}.{x.name}" for x in numbers] + [x.op for x in joined if x.numeric][: c.top]
         groups = [f"{t}.{x.name}" for x in categories] + [x.op for x in joined if not x.numeric][: c.top]
         times = [f"{t}.{x.name}" for x in s.tables[t] if x.kind == "time"]
-        mixed = [x for ways in (1, 2, 3) for x in combinations(names, groups, times, ways, c.top, c.disabled)][: c.combine_limit]
+        good = [x.name for x in sorted(categories, key=lambda x: (-context.rank(x.name), x.name)) if not context.useless(x.name)]
+        mixed = combinations(names, groups, times, 1, c.top, c.disabled) + list_candidates(good, several(s), t, context, c.disabled)
+        useful = [f"{t}.{x}" for x in good] + groups[len(categories) :]
+        mixed = (mixed + [x for ways in (2, 3) for x in combinations(names, useful, times, ways, c.top, c.disabled)])[: c.combine_limit or most]
         combined = self._score(mixed, base, [])
         self.tried = sorted(joined + temporal + combined, key=lambda x: (-x.score, x.op))
         pool = list({x.score: x for x in reversed(self.tried)}.values())[: c.rebase_limit]

@@ -238,3 +238,27 @@ def artifacts(spark, sf_dir):
     sources.write_artifacts(spark, path, TRADE, _STAGED)
     ops = json.loads(spark.read.text(path).first()[0])["ops"]
     return spark.createDataFrame([(i, feature_name(parse_program(x)[0])) for i, x in enumerate(ops)], "place int, name string")
+
+
+# planning and learning --------------------------------------------------------------------------------------------------
+
+
+@query("resources", """WITH b AS (SELECT (SELECT count(*) FROM orders) * 168 AS main, (SELECT count(*) FROM customer) * 104 + (SELECT count(*) FROM lineitem) * 152 AS side)
+SELECT (main * 2 + side)::BIGINT AS shuffle_bytes, greatest(1, ceil((main * 2 + side) / 1048576.0))::BIGINT AS shuffle_partitions, greatest(1, ceil(ceil((main * 2 + side) / 1048576.0) / 16))::BIGINT AS executors FROM b""")
+def resources(spark, sf_dir):
+    """What the trade star asks for in two scopes with partitions of 1 MB."""
+    from .plans.resources import estimate
+
+    r = estimate(load_schema(TRADE), {t: read(spark, sf_dir, t).count() for t in ("orders", "customer", "lineitem")}, 2, partition_mb=1)
+    return spark.createDataFrame([(r.shuffle_bytes, r.shuffle_partitions, r.executors)], "shuffle_bytes long, shuffle_partitions long, executors long")
+
+
+@query("ml_ftrl")
+def ml_ftrl(spark, sf_dir):
+    """Predictions of a model learned pass by pass until the validation score falls."""
+    from .ml.ftrl import FTRL, FTRLConfig
+    from .queries import _labelled
+
+    train, valid = prep.validation_split(_labelled(spark, sf_dir), "ts", 0.2, "event_id")
+    model = FTRL.fit(train, valid, FTRLConfig("label", ["value"], ["segment", "event_type"], max_iter=6, decay=0.9, least_show=2.0))
+    return FTRL.loads(model.dumps()).predict(valid).select("event_id", F.round("prediction", 3).alias("prediction"))

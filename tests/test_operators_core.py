@@ -270,3 +270,74 @@ def test_search_finds_a_planted_product(spark):
 
 def test_queries_and_oracles_share_names():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 80
+
+
+def test_ftrl_learns_stops_and_erases(spark):
+    import math
+    import random
+
+    from starloom.ml.ftrl import FTRL, FTRLConfig
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(6000):
+        x, c = rng.uniform(0, 10), rng.choice("abcd")
+        p = 1 / (1 + math.exp(-(x - 5 + {"a": 2, "b": 1, "c": -1, "d": -2}[c])))
+        rows.append((i, x if i % 50 else None, c, f"rare{i}", int(rng.random() < p)))
+    df = spark.createDataFrame(rows, "id long, x double, c string, r string, y int").repartition(4, "id")
+    train, valid = df.where("id % 5 > 0"), df.where("id % 5 = 0")
+    config = FTRLConfig("y", ["x"], ["c", "r"], max_iter=6, least_show=5.0, decay=0.5, buckets=(10,))
+    model = FTRL.fit(train, valid, config)
+    assert model.evaluate(valid)["auc"] > 0.85 and 1 <= len(model.history) <= 6
+    assert model.effective_features() < 40  # rare values are erased
+    again = FTRL.loads(model.dumps())
+    a, b = ({r.id: r.prediction for r in m.predict(valid).collect()} for m in (model, again))
+    assert a == b and all(0 < p < 1 for p in a.values())
+    sparse = FTRL.fit(train, valid, FTRLConfig("y", ["x"], ["c"], lambda_1=30.0, max_iter=4, buckets=(10,)))
+    assert sparse.effective_features() < FTRL.fit(train, valid, FTRLConfig("y", ["x"], ["c"], max_iter=4, buckets=(10,))).effective_features()
+    line = FTRL.fit(train, valid, FTRLConfig("x", [], ["c"], "regression", alpha=1.0, max_iter=8))
+    assert line.evaluate(valid)["mse"] < 12
+
+
+def test_search_context_and_windows():
+    from starloom.ml.search import Candidate, Context, best_windows, limits, list_candidates, several
+    from starloom.plans.schema import load_schema
+
+    x = Context({None: 0.5, "a": 0.5, "b": 0.8, "c": 0.6, "d": 0.8}, {"many": 30, "few": 5})
+    assert x.useless("a") and x.useless("unknown") and not x.useless("c") and x.rank("b") == x.rank("d") == 0.8 and x.rank("c") == 0.4
+    assert x.combinable("b", "few") and not x.combinable("b", "many") and not x.combinable("few", "few")
+    scored = [Candidate(f"multi_avg(m,s.v,{w})", True, v) for w, v in (("1d:1:0s", 0.7), ("2d:1:0s", 0.9), ("3d:1:0s", 0.9), ("4d:1:0s", 0.8))] + [Candidate("multi_max(m,s.v,1d:1:0s)", True, 0.1), Candidate("multi_direct(m,t.x)", True, 0.2), Candidate("multi_direct(m,t.y)", True, 0.2)]
+    assert [c.op for c in best_windows(scored, 2)] == ["multi_avg(m,s.v,2d:1:0s)", "multi_avg(m,s.v,4d:1:0s)", "multi_direct(m,t.x)", "multi_direct(m,t.y)", "multi_max(m,s.v,1d:1:0s)"]
+    f = lambda n, k: {"id": f"m.{n}", "feature_type": "string", "data_type": k}
+    schema = load_schema({"target_entity": "m", "entity_detail": {"m": {"features": [f("c", "SingleString"), f("few", "ArrayString(,)"), f("many", "KVString(,)[:]")]}}})
+    assert several(schema) == {"few": "split(m.few,44)", "many": "split_key(m.many,44,58)"}
+    assert [c.op for c in list_candidates(["c"], several(schema), "m", x)] == ["isin(m.c,split(m.few,44))", "combine(split(m.few,44),m.c)", "isin(m.c,split_key(m.many,44,58))"]
+    assert [limits(n) for n in (1e6, 5e6, 2e7, 1e8)] == [5000, 1000, 500, 100]
+
+
+def test_row_index_and_shuffle(spark):
+    from starloom.operators import prep
+
+    df = spark.createDataFrame([(i % 7, "x") for i in range(500)], "k long, v string")
+    got = sorted((r.k, r.row_index) for r in prep.assign_index(df).collect())
+    assert [i for _, i in got] == list(range(500))
+    dealt = prep.shuffled(spark.range(4000), 8, "id")
+    parts = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(parts) == 8 and max(parts) < 2 * min(parts) and sorted(r.id for r in dealt.collect()) == list(range(4000))
+
+
+def test_scratch_folders_are_shared_on_clusters(spark):
+    from starloom.sources.tables import shared_folder
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Cluster)
+    assert shared_folder(spark)
