@@ -8,6 +8,7 @@ remaining candidates are scored again on top of the selected ones). Each round i
 from __future__ import annotations
 
 import itertools
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from ..operators.prep import hot_keys, max_lengths, time_gaps, validation_split
 from ..plans.frames import candidate_windows, from_config, seconds
 from ..plans.planner import compile_program
 from ..plans.schema import Column, Schema
+from ..sources.tables import cache, shared_folder
 from .linear import LinearConfig, LinearModel
 from .scorer import slotwise_scores
 
@@ -180,6 +182,10 @@ class FeatureSearch:
         keep = [x for x in dict.fromkeys([s.index, s.pivot_time, self.config.label, *extra]) if x and x not in names]
         return compile_program(s, "\n".join(program), self.tables, names=names, keep=keep)
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """df written once, as fitting and scoring read it several times."""
+        return cache(df, f"{shared_folder(df.sparkSession)}/search-{uuid.uuid4().hex[:12]}")
+
     def _columns(self) -> tuple[list[Column], list[Column]]:
         own = [c for c in self.schema.tables[self.schema.target] if c.name not in (self.schema.index, self.config.label)]
         return [c for c in own if c.kind == "numeric"], [c for c in own if c.kind == "category"]
@@ -189,7 +195,7 @@ class FeatureSearch:
         for at in range(0, len(candidates), self.config.batch):
             part = candidates[at : at + self.config.batch]
             df = self._frame(part + selected, base, [])
-            df = base.predict(df.withColumnsRenamed({f"c{len(part) + i}": f"s{i}" for i in range(len(selected))}))
+            df = self._kept(base.predict(df.withColumnsRenamed({f"c{len(part) + i}": f"s{i}" for i in range(len(selected))})))
             train, valid = validation_split(df, self.schema.pivot_time, self.config.test_ratio)
             numbers = [f"c{i}" for i, c in enumerate(part) if c.numeric]
             others = [f"c{i}" for i, c in enumerate(part) if not c.numeric]
@@ -199,14 +205,14 @@ class FeatureSearch:
 
     def _base(self, selected: list[Candidate]) -> LinearModel:
         numbers, categories = self._columns()
-        df = self._frame(selected, None, []).withColumnsRenamed({f"c{i}": f"s{i}" for i in range(len(selected))})
+        df = self._kept(self._frame(selected, None, []).withColumnsRenamed({f"c{i}": f"s{i}" for i in range(len(selected))}))
         train, _ = validation_split(df, self.schema.pivot_time, self.config.test_ratio)
         config = LinearConfig(self.config.label, [c.name for c in numbers] + [f"s{i}" for i, c in enumerate(selected) if c.numeric], [c.name for c in categories] + [f"s{i}" for i, c in enumerate(selected) if not c.numeric], "binary" if self.config.task == "binary" else "regression", lambda_2=1e-3, max_iter=8)
         return LinearModel.fit(train, config)
 
     def context(self, base: LinearModel) -> Context:
         numbers, categories = self._columns()
-        df = base.predict(self._frame([], None, [])).withColumn("__constant", F.lit("1"))
+        df = self._kept(base.predict(self._frame([], None, [])).withColumn("__constant", F.lit("1")))
         train, valid = validation_split(df, self.schema.pivot_time, self.config.test_ratio)
         own = [c.name for c in numbers], [c.name for c in categories]
         scores = {r.feature: r.score for r in slotwise_scores(train, valid, own[0], [*own[1], "__constant"], "logit", self.config.label, self.config.task).collect() if r.score is not None}

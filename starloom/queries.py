@@ -681,14 +681,17 @@ def ml_tune(spark, sf_dir):
 
 @query("ml_search")
 def ml_search(spark, sf_dir):
-    """A small search over purchases and clicks: the selected operators with their scores."""
+    """A search over all events with their users' views as a side table: the selected operators with their scores, after one rebasing."""
     from .ml.search import FeatureSearch, SearchConfig
 
-    d = _labelled(spark, sf_dir).withColumn("user", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    f = lambda n, t, k: {"id": f"m.{n}", "feature_type": t, "data_type": k}
-    columns = [f("event_id", "bigint", "SplitID"), f("ts", "timestamp", "Timestamp"), f("user", "string", "SingleString"), f("event_type", "string", "SingleString"), f("value", "double", "ContinueNum"), f("segment", "bigint", "ContinueNum"), f("label", "int", "DiscreteLabel")]
-    schema = load_schema({"target_entity": "m", "target_entity_index": "event_id", "target_pivot_timestamp": "ts", "target_label": "label", "entity_detail": {"m": {"features": columns}}})
-    found = FeatureSearch(schema, {"m": d}, SearchConfig("label", windows=["7d,20:0s"], rebase_rounds=0, select=(1, 3))).run()
+    d = _labelled(spark, sf_dir).withColumn("user", F.concat(F.lit("u"), F.col("user_id").cast("string"))).withColumn("tags", F.concat_ws(",", "event_type", F.col("segment").cast("string")))
+    views = d.where("event_type = 'view'").select("user", "ts", F.col("value").alias("seen"), F.col("segment").cast("string").alias("kind"))
+    f = lambda t, n, s, k: {"id": f"{t}.{n}", "feature_type": s, "data_type": k}
+    main = [f("m", "event_id", "bigint", "SplitID"), f("m", "ts", "timestamp", "Timestamp"), f("m", "user", "string", "SingleString"), f("m", "event_type", "string", "SingleString"), f("m", "tags", "string", "ArrayString(,)"), f("m", "value", "double", "ContinueNum"), f("m", "segment", "bigint", "ContinueNum"), f("m", "label", "int", "DiscreteLabel")]
+    side = [f("v", "user", "string", "SingleString"), f("v", "ts", "timestamp", "Timestamp"), f("v", "seen", "double", "ContinueNum"), f("v", "kind", "string", "SingleString")]
+    relation = {**_relation("1-M", "m", ["user"], "v", ["user"], "ts", "ts", ("seen", "kind")), "time_windows": ["7d,20:0s"]}
+    schema = load_schema({"target_entity": "m", "target_entity_index": "event_id", "target_pivot_timestamp": "ts", "target_label": "label", "entity_detail": {"m": {"features": main}, "v": {"features": side}}, "relations": [relation]})
+    found = FeatureSearch(schema, {"m": d, "v": views}, SearchConfig("label", windows=["7d,20:0s"], temporal_limit=12, combine_limit=24, rebase_limit=12, rebase_rounds=1, select=(1, 4))).run()
     return spark.createDataFrame([(i, c.op, round(c.score, 4)) for i, c in enumerate(found)], "place int, op string, score double")
 
 
