@@ -162,5 +162,5 @@ def count_rows(df: DataFrame) -> int:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, that of the files for a scan; nothing is read."""
+    """The optimizer's estimate of df's size, that of the files for a scan; nothing is read. Of other plans it may be far too large."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

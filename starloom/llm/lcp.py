@@ -21,13 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, stored_bytes
+from .common import arrow_limits, count_rows, stored_bytes
 from .kernels import U, chunks, mix
 
 LEVELS = (3, 4)
 K = 64
-#: Stored bytes of documents that one bucket should hold.
-BUCKET_BYTES = 64 << 20
+#: Stored bytes of documents that one bucket should hold; buckets are streamed, so this bounds a task's time, not its memory.
+BUCKET_BYTES = 1 << 30
 _STEP = U(0xC2B2AE3D27D4EB4F)
 
 _CTZ8 = np.array([0, *((x & -x).bit_length() - 1 for x in range(1, 256))], np.uint8)
@@ -157,8 +157,9 @@ def fingerprint_edits(docs: DataFrame, k: int = K, partitions: int | None = None
     spark = docs.sparkSession
     arrow_limits(spark)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, stored_bytes(ids) // BUCKET_BYTES)
-    found = ids.agg(F.min("id").alias("least"), F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("cuts")).first()
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = partitions or max(least, min(stored_bytes(ids) // BUCKET_BYTES, count_rows(ids) // 1000))  # an estimate may be far too large
+    found = ids.agg(F.min("id").alias("least"), F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("cuts")).first()
     bounds = np.array(sorted({x for x in [found.least, *(found.cuts or [])] if x is not None}), np.int64)[:n]
 
     def deal(batches):

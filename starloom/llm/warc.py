@@ -244,6 +244,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int
     """Writes the archives (to path, or a folder in shared storage), reads them back and returns the merged capture index."""
     ws = Workspace(pages.sparkSession, "warc")
     path = path or ws.path("archives")
-    most = 4 * stored_bytes(pages.select("html")) // max(1, count_rows(pages)) + 600  # pages are stored at a fourth of their size at least
-    write_archives(captures(pages, min_bytes), path, records_per_file=max(1, min(20_000, ARCHIVE_BYTES // most)))
+    mean = 4 * stored_bytes(pages.select("html")) // max(1, count_rows(pages))  # pages are stored at a fourth of their size at least
+    most = min(mean, 8 << 20) + 600  # of a table whose size is not known the estimate may be far too large
+    write_archives(captures(pages, min_bytes), path, records_per_file=min(20_000, ARCHIVE_BYTES // most))
     return merge_index(ws.table(read_archives(pages.sparkSession, path), "runs"))
