@@ -616,7 +616,6 @@ def test_secret_scan_of_clashing_columns_and_long_candidates(spark):
         took.append(time.time() - began)
         assert r[0]["spans"] == f"entropy_mixed:0:{n}"
     assert took[2] < 8 * (took[1] + 3), took  # in proportion to the length
-    print(took)
 
 
 def test_secret_scan_finds_keys_of_any_alphabet(spark):
