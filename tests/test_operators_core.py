@@ -341,3 +341,13 @@ def test_scratch_folders_are_shared_on_clusters(spark):
     with pytest.raises(RuntimeError):
         shared_folder(Cluster)
     assert shared_folder(spark)
+
+
+def test_resources_of_large_tables_are_not_cut(spark, monkeypatch):
+    """Four waves of four cores work off all partitions, as in the query's SQL, however many executors that takes."""
+    from starloom import queries_more
+
+    rows = {"orders": 20_000_000, "customer": 2_000_000, "lineitem": 80_000_000}
+    monkeypatch.setattr(queries_more, "read", lambda spark, sf_dir, table: spark.range(rows[table]))
+    r = QUERIES["resources"](spark, "").first()
+    assert r.executors == -(-r.shuffle_partitions // 16) > 1000
