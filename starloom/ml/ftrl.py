@@ -16,14 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import cache, shared_folder
-from .linear import bin_number, quantile_cuts
-from .metrics import binary_metrics, regression_metrics
+from .linear import quantile_cuts, with_bins
+from .metrics import auc, binary_metrics, regression_metrics
 
 
 @dataclass
@@ -66,24 +65,27 @@ class FTRL:
         """Weights that are not zero."""
         return int(np.count_nonzero(self.weights))
 
-    def _places(self) -> Column:
+    def _placed(self, df: DataFrame, name: str) -> DataFrame:
+        """df with the places of each row's weights."""
         c, size = self.config, F.lit(1 << self.config.hash_bits)
+        binned = with_bins(df, {f"__b_{x}@{b}": (x, self.cuts[f"{x}@{b}"]) for x in c.numeric for b in c.buckets})
         texts = [F.concat(F.lit(f"{x}="), F.coalesce(F.col(x).cast("string"), F.lit("\u0000"))) for x in c.categorical]
-        texts += [F.concat(F.lit(f"{x}@{b}="), F.coalesce(bin_number(F.col(x).cast("double"), self.cuts[f"{x}@{b}"]), F.lit("\u0000"))) for x in c.numeric for b in c.buckets]
-        return F.array(*(F.pmod(F.xxhash64(t), size).cast("int") for t in [F.lit("bias"), *texts]))
+        texts += [F.concat(F.lit(f"{x}@{b}="), F.coalesce(F.col(f"`__b_{x}@{b}`").cast("string"), F.lit("\u0000"))) for x in c.numeric for b in c.buckets]
+        return binned.select(*df.columns, F.array(*(F.pmod(F.xxhash64(t), size).cast("int") for t in [F.lit("bias"), *texts])).alias(name))
 
     @classmethod
     def fit(cls, train: DataFrame, valid: DataFrame, config: FTRLConfig) -> FTRL:
         self = cls(config, quantile_cuts(train, config.numeric, config.buckets))
         y = F.col(config.label).cast("double")
         y = (y > 0).cast("double") if config.task == "binary" else y
-        rows = train.where(F.col(config.label).isNotNull()).select(self._places().alias("places"), y.alias("y"))
-        rows = cache(rows, f"{shared_folder(train.sparkSession)}/ftrl-{uuid.uuid4().hex[:12]}")
+        folder = f"{shared_folder(train.sparkSession)}/ftrl-{uuid.uuid4().hex[:12]}"
+        rows = cache(self._placed(train.where(F.col(config.label).isNotNull()), "places").select("places", y.alias("y")), f"{folder}/train")
+        held = cache(self._placed(valid, "places").select("places", config.label), f"{folder}/valid")
         best, score = self.state, -math.inf
         for k in range(config.max_iter):
             self.state = self._pass(rows)
-            e = self.evaluate(valid)
-            now = (e["auc"] or 0.0) if config.task == "binary" else -e["mse"]
+            scored = self._scored(held, "places")
+            now = (auc(scored, "prediction", config.label) or 0.0) if config.task == "binary" else -regression_metrics(scored, "prediction", config.label)["mse"]
             self.history.append(now)
             if now > score:
                 best, score = self.state, now
@@ -130,13 +132,17 @@ class FTRL:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with logit and prediction (a probability, or the label's own scale)."""
+        return self._scored(self._placed(df, "__places"), "__places").drop("__places")
+
+    def _scored(self, df: DataFrame, name: str) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(self.weights)
 
-        @F.pandas_udf("double")
-        def score(places: pd.Series) -> pd.Series:
-            return pd.Series(shared.value[np.stack(places.to_numpy())].sum(axis=1)) if len(places) else pd.Series([], dtype=float)
+        @F.arrow_udf("double")
+        def score(places: pa.Array) -> pa.Array:
+            rows = np.asarray(places.flatten()).reshape(len(places), -1) if len(places) else np.empty((0, 1), np.int64)
+            return pa.array(shared.value[rows].sum(axis=1))
 
-        out = df.withColumn("logit", score(self._places()))
+        out = df.withColumn("logit", score(name))
         return out.withColumn("prediction", 1 / (1 + F.exp(-F.col("logit"))) if self.config.task == "binary" else F.col("logit"))
 
     def evaluate(self, df: DataFrame) -> dict:
